@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, leakage, neighbours, splitting
+from marginalia.llm import bpe, leakage, neighbours, pii, splitting
 from marginalia.sources.tables import table
 
 #: Cells in which each of few queries asks; chosen for a recall above 0.9 (measured in tests and README).
@@ -46,6 +46,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).where("distance = 0").select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), table(spark, d, "contacts"), table(spark, d, "brands")).select("doc_id", "pii_kind", "start_pos")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "contacts"), table(spark, d, "brands"))
+
+
 QUERIES = {
     "p1_found": (p1_found, None),
     "p1_neighbours": (p1_neighbours, None),
@@ -54,4 +62,6 @@ QUERIES = {
     "p7_ids": (p7_ids, None),
     "p8_found": (p8_found, None),
     "p8_leaks": (p8_leaks, None),
+    "p9_found": (p9_found, None),
+    "p9_redacted": (p9_redacted, None),
 }
