@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 
 #: Rows the codebooks are fitted on: those of the least hashes of their ids. All rows are indexed.
 SAMPLE = 16_384
-BOOKS, WORDS = 8, 64
+BOOKS, WORDS = 16, 64
 #: Hypotheses of the beam search, which are also the cells a row is listed in.
-BEAM = 6
+BEAM = 5
 #: Rows a cell should have; larger ones are divided by further codes, and after the last by salt.
 CELL = 384
+#: Codes that may name a cell: (WORDS + 1) ** DEPTHS must fit a bigint.
+DEPTHS = 10
 #: Candidates of a query in a cell that are reranked.
 SHORTLIST = 64
-#: How far a lookup-table score may lie below the wanted similarity for an exact look (over four deviations of its error).
-SLACK = 0.13
+#: Deviations of its error that a lookup-table score may lie below the wanted similarity for an exact look.
+DEVIATIONS = 4.0
 
 
 def normalised(vectors: np.ndarray) -> np.ndarray:
@@ -57,6 +59,13 @@ class Quantiser:
     books: np.ndarray
     divided: list[np.ndarray]
     salts: dict[int, int]
+    spread: float = 0.0  # root mean square tangent between vectors and their approximations
+
+    def slack(self, similarity: float) -> float:
+        """How far the score of a pair of that similarity may lie below it: the score's error is the part of one vector
+        off the other times the part of the approximation off its vector, two directions independent of each other."""
+        off = np.sqrt(max(0.0, 1 - similarity**2))
+        return DEVIATIONS * off * self.spread / np.sqrt(max(1, self.shape[2] - 1)) + 2e-3
 
     @property
     def shape(self) -> tuple[int, int, int]:
@@ -148,9 +157,14 @@ def fit(sample: np.ndarray, population: int, books: int = BOOKS, words: int = WO
             book = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], q.books[b]).astype(np.float32)
             error = target - book[codes[:, b]]
             q.books[b] = book
+    codes, _ = q.encode(sample, beam)
+    near = q.decode(codes)
+    cosine = np.einsum("ij,ij->i", sample, near) / np.maximum(np.linalg.norm(near, axis=1), 1e-6)
+    q.spread = float(np.sqrt(np.mean(1 / np.maximum(cosine, 0.1) ** 2 - 1)))
     # The tree of cells: a prefix is divided while the sample says that more than ``cell`` rows have it.
     scale = population / len(sample)
-    q.divided = [np.zeros(0, np.int64)] * (books - 1)
+    depths = min(books, DEPTHS)
+    q.divided = [np.zeros(0, np.int64)] * (depths - 1)
     _, prefixes = q.encode(sample, beam)
     q.divided = []
     for depth, prefix in enumerate(prefixes):
@@ -159,7 +173,7 @@ def fit(sample: np.ndarray, population: int, books: int = BOOKS, words: int = WO
             own = own[np.isin(own // (words + 1), q.divided[-1])]
         values, count = np.unique(own, return_counts=True)
         large = values[count * scale > cell]
-        if depth == books - 1:
+        if depth == depths - 1:
             q.salts = {int(p): int(-(-c * scale // (4 * cell))) for p, c in zip(values, count, strict=True) if c * scale > 4 * cell}
         elif len(large):
             q.divided.append(large)
@@ -168,8 +182,9 @@ def fit(sample: np.ndarray, population: int, books: int = BOOKS, words: int = WO
     return q
 
 
-#: Columns of the rows that meet in a cell; kind 0 is listed, 1 asks.
-_CELL_SCHEMA = "cell bigint, salt int, kind int, print binary, id bigint, payload binary, norm float"
+#: Columns of the rows that meet in a cell. side: salt * 2, plus 1 for rows that ask. mark: half of the print of the
+#: vector. payload: codes and norm of a listed row, print and half-precision vector of one that asks.
+_CELL_SCHEMA = "cell bigint, side int, mark bigint, id bigint, payload binary"
 
 
 class _ToCells:
@@ -216,23 +231,24 @@ class _ToCells:
         if "asks" in self.role:
             r, c = np.nonzero(listed >= 0) if self.every_cell_asks else (np.arange(len(ids)), None)
             out.append((home if c is None else listed[r, c], r, 1))
+        marks = np.array([int.from_bytes(p[:8], "little", signed=True) for p in prints], np.int64)
         for cell, row, kind in out:
             n = np.array([q.salts.get(c, 1) for c in cell.tolist()]) if q.salts else np.ones(len(cell), int)
-            mark = np.array([int.from_bytes(prints[r][:4], "little") for r in row])
             if kind:  # asks in every salt of the cell
                 salt = np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, int)
                 cell, row = np.repeat(cell, n), np.repeat(row, n)
+                own = [p + v.tobytes() for p, v in zip(prints, x.astype(np.float16), strict=True)]
             else:
-                salt = mark % n
-            payload = [x[r].astype(np.float16).tobytes() for r in row] if kind else [codes[r].tobytes() for r in row]
+                salt = marks[row] % n
+                own = [c.tobytes() + v.tobytes() for c, v in zip(codes, norm, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int64()), pa.array(salt.astype(np.int32)), pa.array(np.full(len(cell), kind, np.int32)), pa.array([prints[r] for r in row], pa.binary()), pa.array(ids[row], pa.int64()), pa.array(payload, pa.binary()), pa.array(norm[row])],
-                ["cell", "salt", "kind", "print", "id", "payload", "norm"],
-            )
+                [pa.array(cell, pa.int64()), pa.array((salt * 2 + kind).astype(np.int32)), pa.array(marks[row]), pa.array(ids[row], pa.int64()), pa.array([own[r] for r in row], pa.binary())],
+                ["cell", "side", "mark", "id", "payload"],
+            )
 
 
 class _Score:
-    """Streams rows sorted by (cell, salt, kind, print, id); yields (asks, print, near, score) of promising pairs."""
+    """Streams rows sorted by (cell, side, mark, id); yields (asks, print, near, score) of promising pairs."""
 
     def __init__(self, quantiser, floor: float, shortlist: int, copies: int) -> None:
         self.quantiser, self.floor, self.shortlist, self.copies = quantiser, floor, shortlist, copies
@@ -244,7 +260,7 @@ class _Score:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cell, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy() >> 1
             starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1])])
             for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
                 if (cell[a], salt[a]) != open_cell:
@@ -257,33 +273,30 @@ class _Score:
 
     def scored(self, q: Quantiser, table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        kind, ids = table["kind"].to_numpy(), table["id"].to_numpy()
-        prints = table["print"].to_pylist()
+        kind, marks, ids = table["side"].to_numpy() & 1, table["mark"].to_numpy(), table["id"].to_numpy()
         split = int(np.searchsorted(kind, 1))
         if not split or split == len(kind):
             return
-        listed, size = [], {}
-        last, previous, n = None, None, 0
-        for i in range(split):
-            p = prints[i]
-            if p != last:
-                last, n, previous = p, 0, None
-            if ids[i] != previous and n < self.copies:
-                listed.append(i)
-                n += 1
-                size[p] = n
-            previous = ids[i]
-        asking = [i for i in range(split, len(kind)) if i == split or prints[i] != prints[i - 1]]
+        # Listed: of each vector the least ids, each once. Asking: the least id of each vector.
+        fresh = np.r_[True, (marks[1:split] != marks[: split - 1]) | (ids[1:split] != ids[: split - 1])]
+        unique = np.flatnonzero(fresh)
+        first = np.r_[True, marks[unique][1:] != marks[unique][:-1]]
+        group = np.cumsum(first) - 1
+        rank = np.arange(len(unique)) - np.flatnonzero(first)[group]
+        size = np.bincount(group)[group]
+        keep = rank < self.copies
+        listed, size = unique[keep], size[keep]
+        asking = split + np.flatnonzero(np.r_[True, marks[split + 1 :] != marks[split:-1]])
         m, k, d = q.shape
-        listed, asking = np.array(listed), np.array(asking)
-        codes = np.frombuffer(b"".join(table["payload"].take(pa.array(listed)).to_pylist()), np.uint8).reshape(-1, m).astype(np.int64)
-        norm = table["norm"].to_numpy()[listed]
-        near = ids[listed]
-        near_print = np.array([prints[i] for i in listed], dtype=object)
-        queries = np.frombuffer(b"".join(table["payload"].take(pa.array(asking)).to_pylist()), np.float16).reshape(-1, d).astype(np.float32)
-        books = q.books.reshape(m * k, d).T
-        at = codes + np.arange(m) * k
+        payload = table["payload"]
+        raw = np.frombuffer(b"".join(payload.take(pa.array(listed)).to_pylist()), np.uint8).reshape(len(listed), m + 4)
+        at = raw[:, :m].astype(np.int64) + np.arange(m) * k
+        norm = np.ascontiguousarray(raw[:, m:]).view(np.float32).ravel()
         weight = 1 / np.where(norm > 1e-3, norm, 1e-3)
+        asked = payload.take(pa.array(asking)).to_pylist()
+        queries = np.frombuffer(b"".join([p[16:] for p in asked]), np.float16).reshape(-1, d).astype(np.float32)
+        near, near_mark = ids[listed], marks[listed]
+        books = q.books.reshape(m * k, d).T
         for a in range(0, len(asking), 256):
             own = asking[a : a + 256]
             tables = queries[a : a + 256] @ books  # (queries, books * words): the lookup tables
@@ -294,13 +307,11 @@ class _Score:
                     score += tables[:, part[:, j]]
                 score *= weight[b : b + 65_536]
                 r, c = self.promising(score)
-                c = c + b
-                asks, mine = ids[own[r]], [prints[own[i]] for i in r]
-                alone = np.array([near_print[j] == p and size[p] < 2 for j, p in zip(c, mine, strict=True)], bool)
-                keep = np.flatnonzero(~alone)  # a vector without copies needn't meet itself
-                if len(keep):
+                other = (near_mark[c + b] != marks[own[r]]) | (size[c + b] > 1)  # a vector without copies needn't meet itself
+                r, c = r[other], c[other]
+                if len(r):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(asks[keep], pa.int64()), pa.array([mine[i] for i in keep], pa.binary()), pa.array(near[c[keep]], pa.int64()), pa.array(score[r[keep], c[keep] - b])],
+                        [pa.array(ids[own[r]], pa.int64()), pa.array([asked[a + i][:16] for i in r], pa.binary()), pa.array(near[c + b], pa.int64()), pa.array(score[r, c])],
                         ["asks", "print", "near", "score"],
                     )
 
@@ -362,14 +373,16 @@ def nearest(
     work is proportional to the number of rows. Vectors are shuffled twice: in half precision to score, in full to rerank.
     """
     spark = rows.sparkSession
-    base = rows.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    base = rows.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v"))
     population = base.count()
+    base = base.where("id IS NOT NULL AND v IS NOT NULL")
     picked = base.where(F.size("v") == dimensions).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
     _, raw = usable(picked["v"], dimensions)
     schema = "id bigint, near bigint, similarity double, place int"
     if not len(raw):
         return spark.createDataFrame([], schema)
-    quantiser = spark.sparkContext.broadcast(fit(normalised(raw), population, words=min(WORDS, len(raw)), cell=cell))
+    fitted = fit(normalised(raw), population, words=min(WORDS, len(raw)), cell=cell)
+    quantiser = spark.sparkContext.broadcast(fitted)
     copies = k + 1
     if queries is None:
         met = base.mapInArrow(_ToCells(quantiser, dimensions, copies, False, "listed asks", beam), _CELL_SCHEMA)
@@ -379,16 +392,16 @@ def nearest(
         met = base.mapInArrow(_ToCells(quantiser, dimensions, copies, True, "listed", BEAM), _CELL_SCHEMA).unionByName(
             asking.mapInArrow(_ToCells(quantiser, dimensions, copies, True, "asks", beam), _CELL_SCHEMA)
         )
-    floor = -np.inf if min_similarity is None else min_similarity - SLACK
+    floor = -np.inf if min_similarity is None else min_similarity - fitted.slack(min_similarity)
+    # A row asks or is listed in one cell only, whichever way, so a pair comes out once. Of equal vectors, whose cells
+    # are equal too, the least id stands for all.
     pairs = (
-        met.repartition("cell", "salt")
-        .sortWithinPartitions("cell", "salt", "kind", "print", "id")
+        met.repartition("cell", F.col("side").bitwiseAND(-2))
+        .sortWithinPartitions("cell", "side", "mark", "id")
         .mapInArrow(_Score(quantiser, floor, shortlist, copies), "asks bigint, print binary, near bigint, score float")
     )
-    # Of one distinct vector the tasks may have sent several ids to ask; the least stands for them.
-    best = Window.partitionBy("print").orderBy(F.desc("score"), "near")
-    pairs = pairs.groupBy("print", "near").agg(F.min("asks").alias("asks"), F.max("score").alias("score"))
     if min_similarity is None:
+        best = Window.partitionBy("asks").orderBy(F.desc("score"), "near")
         pairs = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= shortlist + copies)
     vectors = base.dropDuplicates(["id"])
     exact = (
