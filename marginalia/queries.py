@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia import index_queries
 from marginalia.operators import diffing, hotkeys, incremental, references
 from marginalia.sources.tables import KIND_TABLES, current_rows, kind_of, micros, table
 
@@ -182,4 +183,4 @@ QUERIES = {
     "p4_found": (p4_found, P4_FOUND_SQL),
     "p4_counts": (p4_counts, P4_COUNTS_SQL),
     "p5_found": (p5_found, P5_FOUND_SQL),
-}
+} | index_queries.QUERIES
