@@ -47,6 +47,9 @@ def per_key_quantiles(df: DataFrame, keys: list[str], row_id: str, value: str, q
     join. The number of rounds is logarithmic in the range of the values and independent of the row count.
     """
     names = {f"q{i}": p for i, p in enumerate(quantiles)}
+    given, keys = keys, [f"__key{i}" for i in range(len(keys))]  # own names, whatever the columns are called
+    df = df.select(*[F.col(c).alias(k) for c, k in zip(given, keys, strict=True)], F.col(row_id).alias("__id"), F.col(value).cast("bigint").alias("__value"))
+    row_id, value = "__id", "__value"
     base = cut_lineage(_distinct(df, keys, row_id, value).withColumnRenamed(value, "__v"))
     totals = cut_lineage(
         base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("__v").alias("n_values"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
@@ -69,7 +72,8 @@ def per_key_quantiles(df: DataFrame, keys: list[str], row_id: str, value: str, q
             break
         state = _refined(values, state, keys)
     pivoted = solved.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(q) for q in names])
-    return totals.select(*keys, "n", "n_values").join(pivoted, keys, "left")
+    out = totals.select(*keys, "n", "n_values").join(pivoted, keys, "left")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(given, keys, strict=True)], "n", "n_values", *names)
 
 
 def _refined(values: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:

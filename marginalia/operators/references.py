@@ -42,7 +42,7 @@ def orphans(references: DataFrame, targets: DataFrame, deletions: DataFrame) ->
     """
     present = references.where(F.col("kind").isNotNull() & F.col("key").isNotNull())
     counts = cut_lineage(present.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")))
-    live = live_targets(targets, deletions).withColumn("__there", F.lit(True))
+    live = live_targets(targets, deletions).select("kind", "key", F.col("born").alias("__born"), F.lit(True).alias("__there"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     heavy = counts.where(F.col("n") > F.lit(total / HOT_SHARE)).select("kind", "key")  # at most HOT_SHARE rows
     # The few heavy keys go to the targets, not the targets to them.
@@ -52,8 +52,8 @@ def orphans(references: DataFrame, targets: DataFrame, deletions: DataFrame) ->
     cold = present.join(F.broadcast(heavy), ["kind", "key"], "left_anti")
 
     def judged(rows: DataFrame, against: DataFrame) -> DataFrame:
-        later = F.coalesce(F.col("born") > F.col("created_at"), F.lit(False))
-        return rows.join(against, ["kind", "key"], "left").where(F.col("__there").isNull() | later).drop("born", "__there")
+        later = F.coalesce(F.col("__born") > F.col("created_at"), F.lit(False))
+        return rows.join(against, ["kind", "key"], "left").where(F.col("__there").isNull() | later).drop("__born", "__there")
 
     return judged(hot, verdicts).unionByName(judged(cold, live))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import os
 import tempfile
 import zipfile
@@ -67,6 +68,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_at_most(df, rows) else df
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows: those of the least hashes of their key, nearly always exactly that many if df has them.
+
+    A threshold on the hash first leaves about twice as many, wherever they lie, so no task takes in more than that
+    however many input partitions there are. The same rows on every run and on every cluster.
+    """
+    population = df.count()
+    share = min(1.0, 2.0 * rows / max(1, population))
+    buckets = 1 << 30
+    few = df if share == 1.0 else df.where(F.pmod(F.xxhash64(key), F.lit(buckets)) < math.ceil(share * buckets))
+    return few.orderBy(F.pmod(F.xxhash64(key), F.lit(buckets)), key).limit(rows)
+
+
 @functools.lru_cache(maxsize=1)
 def _archive() -> str:
     root = Path(__file__).resolve().parent
