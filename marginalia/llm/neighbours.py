@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.runtime import hash_sample
+
 #: Rows the codebooks are fitted on: those of the least hashes of their ids. All rows are indexed.
 SAMPLE = 16_384
 BOOKS, WORDS = 16, 64
@@ -376,7 +378,7 @@ def nearest(
     base = rows.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v"))
     population = base.count()
     base = base.where("id IS NOT NULL AND v IS NOT NULL")
-    picked = base.where(F.size("v") == dimensions).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    picked = hash_sample(base.where(F.size("v") == dimensions), "id", sample).select("v").toArrow()
     _, raw = usable(picked["v"], dimensions)
     schema = "id bigint, near bigint, similarity double, place int"
     if not len(raw):
