@@ -115,6 +115,8 @@ def dependencies(catalog: EntityCatalog, name: str, spec: DocumentSpec | None =
         at, reached = name, None
         for i, edge in enumerate(edges):
             step = _pairs(catalog, catalog[at], edge).select("k", "t")
+            if i == 0 and edge.kind != "one":  # pairs may name rows that aren't there
+                step = step.join(entity.rows.select(F.col(entity.key).alias("k")), "k", "left_semi")
             reached = step if reached is None else reached.withColumnRenamed("t", "m").join(step.withColumnRenamed("k", "m"), "m").select("k", "t")
             at = edge.target
             if track_intermediate or i == len(edges) - 1:
