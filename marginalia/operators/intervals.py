@@ -50,8 +50,8 @@ def _sweep(keep: DataFrame, remove: DataFrame | None, keys: list[str]) -> DataFr
 
     def events(intervals: DataFrame, kept: int, removed: int) -> DataFrame:
         clipped = _clipped(intervals, keys)
-        return clipped.select(*keys, "__block", F.col("lo").alias("__at"), F.lit(kept).alias("k"), F.lit(removed).alias("r")).unionByName(
-            clipped.select(*keys, "__block", (F.col("hi") + 1).alias("__at"), F.lit(-kept).alias("k"), F.lit(-removed).alias("r"))
+        return clipped.select(*keys, "__block", F.col("lo").alias("__at"), F.lit(kept).alias("__k"), F.lit(removed).alias("__r")).unionByName(
+            clipped.select(*keys, "__block", (F.col("hi") + 1).alias("__at"), F.lit(-kept).alias("__k"), F.lit(-removed).alias("__r"))
         )
 
     every = events(keep, 1, 0)
@@ -60,9 +60,9 @@ def _sweep(keep: DataFrame, remove: DataFrame | None, keys: list[str]) -> DataFr
     w = Window.partitionBy(*keys, "__block").orderBy("__at")
     return (
         every.groupBy(*keys, "__block", "__at")
-        .agg(F.sum("k").alias("k"), F.sum("r").alias("r"))
-        .withColumn("__k", F.sum("k").over(w))
-        .withColumn("__r", F.sum("r").over(w))
+        .agg(F.sum("__k").alias("__k"), F.sum("__r").alias("__r"))
+        .withColumn("__k", F.sum("__k").over(w))
+        .withColumn("__r", F.sum("__r").over(w))
         .withColumn("__next", F.lead("__at").over(w))
         .where((F.col("__k") > 0) & (F.col("__r") == 0) & F.col("__next").isNotNull())
         .select(*keys, "__block", F.col("__at").alias("lo"), (F.col("__next") - 1).alias("hi"))
