@@ -116,6 +116,7 @@ class Quantiser:
             found.append(cell)
         every = np.concatenate(found[::-1], axis=1)
         home = every[:, 0]
+        every = every[:, : 2 * prefixes[-1].shape[1]]  # the deepest hypotheses first; a deep tree lists a row in no more cells
         ordered = np.sort(every, axis=1)
         ordered[:, 1:][ordered[:, 1:] == ordered[:, :-1]] = -1
         return home, ordered
@@ -162,7 +163,7 @@ def fit(sample: np.ndarray, population: int, books: int = BOOKS, words: int = WO
     codes, _ = q.encode(sample, beam)
     near = q.decode(codes)
     cosine = np.einsum("ij,ij->i", sample, near) / np.maximum(np.linalg.norm(near, axis=1), 1e-6)
-    q.spread = float(np.sqrt(np.mean(1 / np.maximum(cosine, 0.1) ** 2 - 1)))
+    q.spread = float(np.sqrt(np.mean(1 / np.clip(cosine, 0.1, 1.0) ** 2 - 1)))
     # The tree of cells: a prefix is divided while the sample says that more than ``cell`` rows have it.
     scale = population / len(sample)
     depths = min(books, DEPTHS)
@@ -383,7 +384,9 @@ def nearest(
     schema = "id bigint, near bigint, similarity double, place int"
     if not len(raw):
         return spark.createDataFrame([], schema)
-    fitted = fit(normalised(raw), population, words=min(WORDS, len(raw)), cell=cell)
+    # Copies share all codes and are listed a few times only: they needn't divide cells.
+    distinct = np.unique(raw, axis=0)
+    fitted = fit(normalised(distinct), -(-population * len(distinct) // len(raw)), words=min(WORDS, len(distinct)), cell=cell)
     quantiser = spark.sparkContext.broadcast(fitted)
     copies = k + 1
     if queries is None:
