@@ -26,22 +26,26 @@ QUERY = [((i * 37) % 64 - 31.5) / 64 for i in range(64)]
 _QUERY_SQL = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY) + "]"
 
 
-def catalog(spark: SparkSession, d: str) -> EntityCatalog:
-    """Customers, orders, parts and suppliers with their relations."""
+def catalog(spark: SparkSession, d: str, *wanted: str) -> EntityCatalog:
+    """The wanted entities (customer, order, part, product) with what they are related to."""
     c = EntityCatalog()
-    c.register("region", table(spark, d, "region"), "r_regionkey")
-    c.register("nation", table(spark, d, "nation"), "n_nationkey", {"region": Relation("one", "region", local="n_regionkey")})
-    customer = {"nation": Relation("one", "nation", local="c_nationkey"), "orders": Relation("many", "order", foreign="o_custkey", order_by=("o_orderdate",))}
-    c.register("customer", table(spark, d, "customer"), "c_custkey", customer, DocumentSpec(("c_name", "c_acctbal", "c_mktsegment"), ("nation.n_name", "nation.region.r_name")))
-    c.register("order", table(spark, d, "orders"), "o_orderkey", {"customer": Relation("one", "customer", local="o_custkey")}, DocumentSpec(("o_orderkey", "o_orderdate"), ("customer.c_name",)))
-    c.register("supplier", table(spark, d, "supplier"), "s_suppkey", {"nation": Relation("one", "nation", local="s_nationkey")})
-    bridge = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    part = {"suppliers": Relation("bridge", "supplier", local="l_partkey", foreign="l_suppkey", bridge=bridge)}
-    c.register("part", table(spark, d, "part"), "p_partkey", part, DocumentSpec(("p_name", "p_size", "p_retailprice"), ("suppliers.s_name",)))
-    product = {"category": Relation("one", "category", local="category_id"), "brand": Relation("one", "brand", local="brand_id")}
-    for name, rows in (("category", "categories"), ("brand", "brands"), ("feature", "features")):
-        c.register(name, table(spark, d, rows), "id")
-    c.register("product", table(spark, d, "products").dropDuplicates(["id"]), "id", product, DocumentSpec(("name", "sku", "price"), ("category.name", "brand.name")))
+    if {"customer", "order"} & set(wanted):
+        c.register("region", table(spark, d, "region"), "r_regionkey")
+        c.register("nation", table(spark, d, "nation"), "n_nationkey", {"region": Relation("one", "region", local="n_regionkey")})
+        customer = {"nation": Relation("one", "nation", local="c_nationkey"), "orders": Relation("many", "order", foreign="o_custkey", order_by=("o_orderdate",))}
+        c.register("customer", table(spark, d, "customer"), "c_custkey", customer, DocumentSpec(("c_name", "c_acctbal", "c_mktsegment"), ("nation.n_name", "nation.region.r_name")))
+    if "order" in wanted:
+        c.register("order", table(spark, d, "orders"), "o_orderkey", {"customer": Relation("one", "customer", local="o_custkey")}, DocumentSpec(("o_orderkey", "o_orderdate"), ("customer.c_name",)))
+    if "part" in wanted:
+        c.register("supplier", table(spark, d, "supplier"), "s_suppkey")
+        bridge = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+        part = {"suppliers": Relation("bridge", "supplier", local="l_partkey", foreign="l_suppkey", bridge=bridge)}
+        c.register("part", table(spark, d, "part"), "p_partkey", part, DocumentSpec(("p_name", "p_size", "p_retailprice"), ("suppliers.s_name",)))
+    if "product" in wanted:
+        product = {"category": Relation("one", "category", local="category_id"), "brand": Relation("one", "brand", local="brand_id")}
+        for name, rows in (("category", "categories"), ("brand", "brands")):
+            c.register(name, table(spark, d, rows), "id")
+        c.register("product", table(spark, d, "products").dropDuplicates(["id"]), "id", product, DocumentSpec(("name", "sku", "price"), ("category.name", "brand.name")))
     return c
 
 
@@ -49,7 +53,8 @@ def catalog(spark: SparkSession, d: str) -> EntityCatalog:
 
 
 def render_belongs_to(spark: SparkSession, d: str) -> DataFrame:
-    return render_hashed(catalog(spark, d), "customer", configuration_hash(catalog(spark, d)["customer"].spec, CONFIG)).select("entity_id", "text", "content_hash")
+    c = catalog(spark, d, "customer")
+    return render_hashed(c, "customer", configuration_hash(c["customer"].spec, CONFIG)).select("entity_id", "text", "content_hash")
 
 
 _FLOAT = "regexp_replace(CAST(CAST(round({0}, 6) AS DECIMAL(38,6)) AS VARCHAR), '\\.?0+$', '')"
@@ -62,7 +67,7 @@ RENDER_BELONGS_TO = f"SELECT *, sha256(text) AS content_hash FROM ({_CUSTOMER_TE
 
 def render_decimal(spark: SparkSession, d: str) -> DataFrame:
     """Products: decimals keep their scale, null relations and prices are empty."""
-    return render(catalog(spark, d), "product")
+    return render(catalog(spark, d, "product"), "product")
 
 
 RENDER_DECIMAL = """
@@ -72,7 +77,7 @@ FROM (SELECT DISTINCT * FROM products) p LEFT JOIN categories c ON category_id =
 
 
 def render_many_to_many(spark: SparkSession, d: str) -> DataFrame:
-    return render(catalog(spark, d), "part")
+    return render(catalog(spark, d, "part"), "part")
 
 
 RENDER_MANY_TO_MANY = f"""
@@ -86,7 +91,7 @@ FROM part LEFT JOIN listed ON p_partkey = l_partkey"""
 def render_ordered(spark: SparkSession, d: str) -> DataFrame:
     """A customer's order dates in their own order (1:n, order kept)."""
     spec = DocumentSpec(("c_name",), ("orders.o_orderkey",), ("orders.o_orderkey",))
-    return render(catalog(spark, d), "customer", spec)
+    return render(catalog(spark, d, "order"), "customer", spec)
 
 
 RENDER_ORDERED = """
@@ -96,7 +101,7 @@ FROM customer LEFT JOIN (SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR
 
 def render_nested_lists(spark: SparkSession, d: str) -> DataFrame:
     """Customers' orders' customers' names: to-many and back, sorted as text."""
-    return render(catalog(spark, d), "customer", DocumentSpec((), ("orders.customer.c_name", "orders.o_orderkey")))
+    return render(catalog(spark, d, "order"), "customer", DocumentSpec((), ("orders.customer.c_name", "orders.o_orderkey")))
 
 
 RENDER_NESTED = """
@@ -231,7 +236,7 @@ _CHUNKS_SQL = """SELECT document_id AS entity_id, chunk_index, CAST(embedding AS
 
 
 def _dependencies(spark: SparkSession, d: str) -> DataFrame:
-    c = catalog(spark, d)
+    c = catalog(spark, d, "customer", "part")
     return reduce(DataFrame.unionByName, [dependencies(c, t).select(F.lit(t).alias("entity_type"), F.col("entity_id").cast("bigint").alias("entity_id"), "dependency_type", "dependency_id") for t in ("customer", "part")])
 
 
@@ -308,7 +313,7 @@ SELECT user_id, us FROM passed"""
 
 def _generations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(desired, stored): rendered customers, and the same with some gone, some of another text or configuration."""
-    desired = render_hashed(catalog(spark, d), "customer", "g1").select("entity_id", "content_hash", "configuration_hash", "text")
+    desired = render_hashed(catalog(spark, d, "customer"), "customer", "g1").select("entity_id", "content_hash", "configuration_hash", "text")
     stored = desired.where("entity_id % 10 <> 0").select(
         "entity_id", F.lit(1).alias("version"), F.when(F.col("entity_id") % 7 == 0, content_hash(F.concat("text", F.lit("!")))).otherwise(F.col("content_hash")).alias("content_hash"),
         F.when(F.col("entity_id") % 13 == 0, "g0").otherwise(F.col("configuration_hash")).alias("configuration_hash"), F.lit("synced").alias("status"), F.lit(None).cast("string").alias("last_error"),
@@ -369,7 +374,7 @@ SELECT doc_id AS entity_id, n.i AS chunk_index, n.h AS content_hash, coalesce(n.
 
 def dependency_delta(spark: SparkSession, d: str) -> DataFrame:
     """Stored dependencies without some and with stale ones become the desired ones; common rows keep created_at."""
-    desired = dependencies(catalog(spark, d), "customer").withColumn("entity_id", F.col("entity_id").cast("bigint"))
+    desired = dependencies(catalog(spark, d, "customer"), "customer").withColumn("entity_id", F.col("entity_id").cast("bigint"))
     old = F.lit("2024-01-01").cast("timestamp")
     stale = desired.where("entity_id % 5 = 0").withColumn("dependency_id", F.col("dependency_id") + 1000)
     stored = desired.where("entity_id % 4 <> 0").unionByName(stale).withColumn("created_at", old)
@@ -384,7 +389,7 @@ SELECT entity_id, dependency_type, dependency_id, CASE WHEN entity_id % 4 <> 0 T
 
 def drift_report(spark: SparkSession, d: str) -> DataFrame:
     desired, stored = _generations(spark, d)
-    want = dependencies(catalog(spark, d), "customer")
+    want = dependencies(catalog(spark, d, "customer"), "customer")
     have = want.where("NOT (entity_id % 11 = 0 AND dependency_type = 'region')")
     return drifts.drift(desired, stored, want, have).select("entity_id", F.array_join("drift", "+").alias("drift"))
 

@@ -31,7 +31,7 @@ def affected(changes: DataFrame, dependencies: DataFrame, keys: tuple[str, ...]
 
     A reverse lookup: few changes are broadcast to the dependencies (checked by count), many are shuffled.
     """
-    few = broadcast_if_small(changes.select(*_CHANGE).distinct())
+    few = broadcast_if_small(changes.select(*_CHANGE))
     return dependencies.join(few, _CHANGE, "left_semi").select(*keys).distinct()
 
 
