@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -20,11 +20,13 @@ from marginalia.plans.render import dependencies as desired_dependencies
 from marginalia.plans.render import render_hashed
 from marginalia.runtime import cut_lineage
 from marginalia.sources.store import SnapshotStore
-from marginalia.spec import EntityCatalog
+from marginalia.spec import EntityCatalog, InvalidRelationPath, Relation
 
 _SCHEMAS = {"documents": reconcile.DOCUMENTS, "chunks": reconcile.CHUNKS, "dependencies": reconcile.DEPENDENCIES}
 #: Rows a report shows at most, and examples a check names.
 REPORT_ROWS, EXAMPLES = 20, 3
+#: The oldest Spark whose functions suffice (try_cast as a method, is_valid_utf8).
+LEAST_SPARK = (4, 0)
 
 
 class UnsupportedBackend(RuntimeError):
@@ -142,6 +144,50 @@ class Index:
             self.store.commit({f"documents@{entity_type}": reconcile.with_failures(stored, errors)})
         self._tell("sync_failed", entity_type, errors, message=message)
 
+    # -- bridges -----------------------------------------------------------
+    def _bridge(self, entity_type: str, relation: str) -> Relation:
+        edge = self.catalog[entity_type].relations.get(relation)
+        if edge is None or edge.kind != "bridge":
+            raise InvalidRelationPath(f"{entity_type} has no bridge {relation!r}")
+        return edge
+
+    def _rebridge(self, entity_type: str, relation: str, rows: DataFrame, owner: int, resync: bool) -> None:
+        """The relation over other pairs, written so that later reads don't compute them again; the owner is synced."""
+        entity = self.catalog[entity_type]
+        entity.relations = {**entity.relations, relation: replace(entity.relations[relation], bridge=cut_lineage(rows))}
+        if resync:
+            self.sync(entity_type, [owner])
+
+    def attach(self, entity_type: str, relation: str, owner: int, ids: Sequence[int], resync: bool = True) -> None:
+        """Pair an owner with more rows; pairs that are there stay as they are."""
+        edge = self._bridge(entity_type, relation)
+        new = self.spark.createDataFrame([(int(owner), int(i)) for i in ids], f"`{edge.local}` bigint, `{edge.foreign}` bigint").distinct()
+        new = new.join(edge.bridge.select(edge.local, edge.foreign), [edge.local, edge.foreign], "left_anti")
+        self._rebridge(entity_type, relation, edge.bridge.unionByName(new, allowMissingColumns=True), owner, resync)
+
+    def detach(self, entity_type: str, relation: str, owner: int, ids: Sequence[int] | None = None, resync: bool = True) -> int:
+        """Take an owner's pairs apart, all if no ids are given; how many there were."""
+        edge = self._bridge(entity_type, relation)
+        own = F.col(edge.local) == owner
+        gone = own if ids is None else own & F.col(edge.foreign).isin([int(i) for i in ids])
+        gone = F.coalesce(gone, F.lit(False))
+        n = edge.bridge.where(gone).count()
+        self._rebridge(entity_type, relation, edge.bridge.where(~gone), owner, resync)
+        return n
+
+    def sync_relation(self, entity_type: str, relation: str, owner: int, ids: Sequence[int], detaching: bool = True, resync: bool = True) -> dict[str, list[int]]:
+        """Make the ids an owner's pairs; which were attached and, if detaching, detached."""
+        edge = self._bridge(entity_type, relation)
+        there = {r[0] for r in edge.bridge.where(F.col(edge.local) == owner).select(edge.foreign).distinct().collect()}
+        attached, detached = sorted({int(i) for i in ids} - there), sorted(there - {int(i) for i in ids}) if detaching else []
+        if detached:
+            self.detach(entity_type, relation, owner, detached, resync=False)
+        if attached:
+            self.attach(entity_type, relation, owner, attached, resync=False)
+        if resync:
+            self.sync(entity_type, [owner])
+        return {"attached": attached, "detached": detached}
+
     # -- embed -------------------------------------------------------------
     def embed(self, entity_type: str, record: bool = False) -> dict[str, int]:
         """Fill missing vectors and set documents without any to synced; counts of vectors and failed chunks.
@@ -158,7 +204,7 @@ class Index:
         fresh = chunked(desired.join(current.select("entity_id"), "entity_id", "left_semi"), ["entity_id"], "text", self.config)
         work = embeds.pending(stored, fresh)
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        answers = cut_lineage(embeds.embedded(work.repartition(n), self.embedder, self.config))
+        answers = cut_lineage(embeds.embedded(work.repartition(n), self.embedder, self.config, self.config.auto_batch_size))
         counts = answers.agg(F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
         chunks = cut_lineage(embeds.with_vectors(stored, answers, self.embedder, self.config))
         documents = reconcile.flipped(documents, chunks, current)
@@ -285,7 +331,8 @@ class Index:
 
     def doctor(self) -> list[tuple[str, str, str]]:
         """(check, level, detail): FAIL for vectors of another width than set, WARN for what may be meant, else OK."""
-        out: list[tuple[str, str, str]] = []
+        version = tuple(int(x) for x in self.spark.version.split(".")[:2])
+        out: list[tuple[str, str, str]] = [("spark", "OK" if version >= LEAST_SPARK else "FAIL", self.spark.version)]
         documents, chunks, dependencies = (self.table(t) for t in _SCHEMAS)
         widths = sorted(r[0] for r in chunks.where("embedding IS NOT NULL").select(F.size("embedding")).distinct().limit(EXAMPLES + 1).collect())
         wrong = [w for w in widths if w != self.config.dimensions]

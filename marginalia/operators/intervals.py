@@ -23,7 +23,7 @@ def islands(df: DataFrame, keys: list[str], number: str) -> DataFrame:
 
     Intervals that touch at a block's edge stay two; ``merge`` joins them where that matters.
     """
-    numbers = df.where(F.col(number).isNotNull()).select(*keys, F.col(number).cast("bigint").alias("__n"))
+    numbers = df.where(F.col(number).isNotNull()).select(*keys, F.col(number).cast("bigint").alias("__n")).distinct()
     w = Window.partitionBy(*keys, "__block").orderBy("__n")
     return (
         numbers.withColumn("__block", _block(F.col("__n")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.runtime import cut_lineage
+from marginalia.runtime import broadcast_if_small, cut_lineage
 
 #: A key with more than 1/HOT_SHARE of the references is heavy; so at most HOT_SHARE keys are broadcast.
 HOT_SHARE = 1000
@@ -61,12 +61,20 @@ def orphans(references: DataFrame, targets: DataFrame, deletions: DataFrame) ->
 def orphan_counts(references: DataFrame, targets: DataFrame, deletions: DataFrame) -> DataFrame:
     """(ref_table, ref_field, ref_month, orphans): orphan references per table, field and month.
 
-    references as for ``orphans``, with ref_table, ref_field and ref_month. Pre-aggregated: the key, the
-    month and the reference's own creation time decide, so rows are first summed to one for each of them.
+    references as for ``orphans``, with ref_table, ref_field and ref_month (as ``month_of`` gives it). They are summed
+    to one row for each key and month first, and only those sums meet the targets. A sum is decided as a whole unless
+    its month is the very one in which the target was created; of those few the rows themselves are looked at.
     """
-    grouped = references.groupBy("ref_table", "ref_field", "ref_month", "kind", "key", "created_at").agg(F.count(F.lit(1)).alias("__n"))
-    found = orphans(grouped, targets, deletions)
-    return found.groupBy("ref_table", "ref_field", "ref_month").agg(F.sum("__n").alias("orphans"))
+    group = ["ref_table", "ref_field", "ref_month"]
+    present = references.where(F.col("kind").isNotNull() & F.col("key").isNotNull()).select(*group, "kind", "key", "created_at")
+    sums = cut_lineage(present.groupBy(*group, "kind", "key").agg(F.count(F.lit(1)).alias("__n")))
+    live = live_targets(targets, deletions).select("kind", "key", F.col("born").alias("__born"), F.lit(True).alias("__there"))
+    judged = cut_lineage(sums.join(live, ["kind", "key"], "left").withColumn("__month", month_of(F.col("__born"))))
+    dated = F.col("__there") & F.col("__born").isNotNull() & (F.col("ref_month") != "none")
+    whole = judged.where(F.col("__there").isNull() | (dated & (F.col("__month") > F.col("ref_month")))).select(*group, "__n")
+    undecided = judged.where(dated & (F.col("__month") == F.col("ref_month"))).select(*group, "kind", "key", "__born")
+    rows = present.join(broadcast_if_small(undecided), [*group, "kind", "key"]).where(F.col("created_at") < F.col("__born"))
+    return whole.unionByName(rows.select(*group, F.lit(1).cast("bigint").alias("__n"))).groupBy(*group).agg(F.sum("__n").alias("orphans"))
 
 
 def month_of(created_at: Column) -> Column:

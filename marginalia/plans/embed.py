@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -37,6 +38,23 @@ class HashEmbedder:
         return [np.random.default_rng(s).standard_normal(dimensions).astype(np.float32).tolist() for s in seeds]
 
 
+class Retrying:
+    """An embedder whose failed calls are made again, after the given pauses in seconds; the last error is raised."""
+
+    def __init__(self, embedder: Embedder, pauses: tuple[float, ...] = (10.0, 60.0)) -> None:
+        self.embedder, self.pauses, self.provider = embedder, pauses, embedder.provider
+
+    def embed(self, texts: list[str], model: str, dimensions: int) -> list[list[float]]:
+        for pause in (*self.pauses, None):
+            try:
+                return checked(self.embedder.embed(texts, model, dimensions), texts, dimensions)
+            except Exception:
+                if pause is None:
+                    raise
+                time.sleep(pause)
+        raise AssertionError("unreachable")
+
+
 def checked(vectors: list, texts: list[str], dimensions: int) -> list[list[float]]:
     if len(vectors) != len(texts):
         raise InvalidEmbeddingResponse(f"{len(texts)} vectors were asked for, {len(vectors)} came")

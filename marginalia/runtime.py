@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import functools
+import io
 import math
-import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -81,19 +81,22 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return few.orderBy(F.pmod(F.xxhash64(key), F.lit(buckets)), key).limit(rows)
 
 
-@functools.lru_cache(maxsize=1)
-def _archive() -> str:
-    root = Path(__file__).resolve().parent
-    to = os.path.join(tempfile.mkdtemp(prefix="marginalia-code-"), "marginalia.zip")
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+def _archive() -> bytes:
+    root, out = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    return to
+    return out.getvalue()
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Give the Python workers this package, wherever the driver has it from (once for each context)."""
+    """Give the Python workers this package through the shared folder, wherever the driver has it from (once a context)."""
     sc = spark.sparkContext
-    if not getattr(sc, "_marginalia_shipped", False):
-        sc.addPyFile(_archive())
-        sc._marginalia_shipped = True
+    if getattr(sc, "_marginalia_shipped", False):
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/code-{uuid.uuid4().hex[:8]}/marginalia.zip")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(_archive()))
+    stream.close()
+    sc.addPyFile(path.toString())
+    sc._marginalia_shipped = True

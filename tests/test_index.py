@@ -10,7 +10,7 @@ from marginalia.plans import embed as embeds
 from marginalia.plans import reconcile
 from marginalia.plans import search as searches
 from marginalia.sources.store import CommitConflict, SnapshotStore
-from marginalia.spec import DocumentSpec, EntityCatalog, Relation
+from marginalia.spec import DocumentSpec, EntityCatalog, InvalidRelationPath, Relation
 from marginalia.testing import RecordingIndex
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import the tests
@@ -210,6 +210,39 @@ def test_repeated_keys_and_shrinking_chunks(spark):
     assert vacuous.first().status == "synced"  # no chunk is no chunk without a vector
 
 
+def test_bridges(spark, tmp_path):
+    c = catalog(spark)
+    c.register("feature", spark.createDataFrame([(1, "Waterproof"), (2, "Bluetooth"), (3, "Light")], "id bigint, name string"))
+    bridge = spark.createDataFrame([(1, 1, "x")], "product_id bigint, feature_id bigint, note string")
+    c["product"].relations["features"] = Relation("bridge", "feature", local="product_id", foreign="feature_id", bridge=bridge)
+    c["product"].spec = c["product"].spec.relation("features.name")
+    ix = index(spark, tmp_path, c)
+    ix.sync("product")
+    ix.attach("product", "features", 1, [2, 2, 1])
+    own = lambda: {r.dependency_id for r in ix.dependencies_of("product", 1).where("dependency_type = 'feature'").collect()}
+    assert own() == {1, 2} and ix.drift("product").count() == 0
+    assert ix.sync_relation("product", "features", 1, [2, 3]) == {"attached": [3], "detached": [1]} and own() == {2, 3}
+    assert ix.detach("product", "features", 1) == 2 and own() == set() and ix.drift("product").count() == 0
+    with pytest.raises(InvalidRelationPath):
+        ix.attach("product", "category", 1, [1])
+
+
+class Flaky(Keywords):
+    calls = 0
+
+    def embed(self, texts, model, dimensions):
+        Flaky.calls += 1
+        if Flaky.calls < 3:
+            raise RuntimeError("busy")
+        return super().embed(texts, model, dimensions)
+
+
+def test_retrying():
+    assert embeds.Retrying(Flaky(), (0, 0)).embed(["speaker"], "m", 3) == [[1.0, 0.0, 0.1]] and Flaky.calls == 3
+    with pytest.raises(embeds.InvalidEmbeddingResponse):
+        embeds.Retrying(Broken("count"), (0,)).embed(["x"], "m", 3)
+
+
 def test_store(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path))
     a = spark.range(3)

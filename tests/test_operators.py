@@ -5,6 +5,7 @@ import pytest
 
 from marginalia.operators import diffing, hotkeys, incremental, references
 from marginalia.operators import intervals as iv
+from marginalia.runtime import hash_sample
 from marginalia.sources.store import SnapshotStore
 
 # -- intervals -------------------------------------------------------------
@@ -112,6 +113,13 @@ def test_share_is_inclusive(spark):
     assert hotkeys.heavy_keys(df, ["k"], "id", "v", 0.02).count() == 50
 
 
+def test_hash_sample_is_bounded_and_stable(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    a, b = (sorted(r.k for r in hash_sample(d, "k", 700).collect()) for d in (df, df.repartition(7)))
+    assert a == b and len(a) == 700 and 8000 < sum(a) / 700 < 12_000
+    assert hash_sample(df.limit(5), "k", 700).count() == 5 and hash_sample(df.limit(0), "k", 700).count() == 0
+
+
 # -- references ------------------------------------------------------------
 
 
