@@ -23,6 +23,10 @@ from marginalia.runtime import hash_sample
 
 #: Rows the codebooks are fitted on: those of the least hashes of their ids. All rows are indexed.
 SAMPLE = 16_384
+#: Rows at most that tell how cells are filled: one of TREE_SHARE, at least SAMPLE.
+TREE_SAMPLE, TREE_SHARE = 131_072, 64
+#: Rows of the sample that a cell must have to be divided on their account.
+TOLD = 4
 BOOKS, WORDS = 16, 64
 #: Hypotheses of the beam search, which are also the cells a row is listed in.
 BEAM = 5
@@ -32,6 +36,8 @@ CELL = 384
 DEPTHS = 10
 #: Candidates of a query in a cell that are reranked.
 SHORTLIST = 64
+#: Distinct vectors whose copies a task counts at a time.
+REMEMBERED = 1 << 17
 #: Deviations of its error that a lookup-table score may lie below the wanted similarity for an exact look.
 DEVIATIONS = 4.0
 
@@ -61,6 +67,7 @@ class Quantiser:
     books: np.ndarray
     divided: list[np.ndarray]
     salts: dict[int, int]
+    least: int = 1  # codes that name a cell at least
     spread: float = 0.0  # root mean square tangent between vectors and their approximations
 
     def slack(self, similarity: float) -> float:
@@ -79,7 +86,7 @@ class Quantiser:
         n, (m, k, d) = len(x), self.shape
         residual, cost = x[:, None, :], np.zeros((n, 1), np.float32)
         codes = np.zeros((n, 1, 0), np.uint8)
-        prefixes, depth = [], len(self.divided) + 1
+        prefixes, depth = [], max(len(self.divided) + 1, self.least)
         prefix = np.zeros((n, 1), np.int64)
         rows = np.arange(n)[:, None]
         for b in range(m):
@@ -110,7 +117,7 @@ class Quantiser:
             for up in range(depth, -1, -1):  # from the shortest prefix on
                 short = prefix // k1**up
                 level = depth - up
-                leaf = ~known & (~np.isin(short, self.divided[level]) if level < len(self.divided) else True)
+                leaf = ~known & (level + 1 >= min(self.least, len(prefixes))) & (~np.isin(short, self.divided[level]) if level < len(self.divided) else True)
                 cell[leaf] = short[leaf]
                 known |= leaf
             found.append(cell)
@@ -143,6 +150,7 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 def fit(sample: np.ndarray, population: int, books: int = BOOKS, words: int = WORDS, beam: int = BEAM, cell: int = CELL, rounds: int = 8, sweeps: int = 2, seed: int = 7) -> Quantiser:
     """Codebooks from unit vectors: residual k-means, then sweeps of beam encoding and joint refitting of all codewords."""
     rng = np.random.default_rng(seed)
+    every, sample = sample, sample[:SAMPLE]
     residual, made = sample.copy(), []
     for _ in range(books):
         book = _means(residual, words, rounds, rng)
@@ -164,18 +172,21 @@ def fit(sample: np.ndarray, population: int, books: int = BOOKS, words: int = WO
     near = q.decode(codes)
     cosine = np.einsum("ij,ij->i", sample, near) / np.maximum(np.linalg.norm(near, axis=1), 1e-6)
     q.spread = float(np.sqrt(np.mean(1 / np.clip(cosine, 0.1, 1.0) ** 2 - 1)))
+    # Cells that the sample doesn't tell about have as many codes as an even spread would need.
+    q.least = max(1, min(books, DEPTHS, int(np.log(max(population / cell, 1)) / np.log(max(words, 2)))))
     # The tree of cells: a prefix is divided while the sample says that more than ``cell`` rows have it.
-    scale = population / len(sample)
+    scale = population / len(every)
     depths = min(books, DEPTHS)
     q.divided = [np.zeros(0, np.int64)] * (depths - 1)
-    _, prefixes = q.encode(sample, beam)
+    parts = [q.encode(every[i : i + 8192], beam)[1] for i in range(0, len(every), 8192)]
+    prefixes = [np.concatenate(p) for p in zip(*parts, strict=True)]
     q.divided = []
     for depth, prefix in enumerate(prefixes):
         own = prefix[:, 0]
         if depth:
             own = own[np.isin(own // (words + 1), q.divided[-1])]
         values, count = np.unique(own, return_counts=True)
-        large = values[count * scale > cell]
+        large = values[(count * scale > cell) & (count >= TOLD)]
         if depth == depths - 1:
             q.salts = {int(p): int(-(-c * scale // (4 * cell))) for p, c in zip(values, count, strict=True) if c * scale > 4 * cell}
         elif len(large):
@@ -210,6 +221,8 @@ class _ToCells:
             prints = [xxhash.xxh3_128_digest(v) for v in raw]
             keep = []
             for i, (p, key) in enumerate(zip(prints, ids.tolist(), strict=True)):
+                if len(seen) >= REMEMBERED and p not in seen:
+                    seen.clear()  # costs a few more rows of vectors with copies, nothing else
                 own = seen.setdefault(p, set())
                 if len(own) < self.copies:
                     if key not in own:
@@ -362,14 +375,15 @@ class _Prints:
 
 def nearest(
     rows: DataFrame, k: int, id_column: str = "id", vector_column: str = "embedding", dimensions: int = 64, queries: DataFrame | None = None,
-    min_similarity: float | None = None, sample: int = SAMPLE, beam: int = BEAM, shortlist: int = SHORTLIST, cell: int = CELL,
+    min_similarity: float | None = None, sample: int | None = None, beam: int = BEAM, shortlist: int = SHORTLIST, cell: int = CELL,
 ) -> DataFrame:
     """(id, near, similarity, place): for each usable vector its k most similar others by cosine, place from 1.
 
     queries: the rows that ask (a subset of rows' ids with the same columns); all if None. min_similarity:
     leave out less similar ones. Ties go to the least id. Unusable vectors (null, other width, null, NaN or
     infinite values, all zero) neither ask nor are found. Rows of equal id are copies and count once. Empty
-    input gives an empty result. The result is approximate in which candidates are seen; every similarity is exact.
+    input gives an empty result. sample: rows to fit on, by default SAMPLE for the codebooks and up to TREE_SAMPLE for the
+    cells. The result is approximate in which candidates are seen; every similarity is exact.
 
     If all rows ask, every row's codes (a few bytes) go to the cells of all its hypotheses and its vector asks in its
     home cell only; with few queries these ask in all their cells instead. Cells hold about ``cell`` rows, so the
@@ -379,7 +393,7 @@ def nearest(
     base = rows.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v"))
     population = base.count()
     base = base.where("id IS NOT NULL AND v IS NOT NULL")
-    picked = hash_sample(base.where(F.size("v") == dimensions), "id", sample).select("v").toArrow()
+    picked = hash_sample(base.where(F.size("v") == dimensions), "id", sample or min(TREE_SAMPLE, max(SAMPLE, population // TREE_SHARE))).select("v").toArrow()
     _, raw = usable(picked["v"], dimensions)
     schema = "id bigint, near bigint, similarity double, place int"
     if not len(raw):
