@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.runtime import cut_lineage
+from marginalia.runtime import broadcast_if_small, cut_lineage
 
 #: Bins of one refinement.
 BINS = 1024
@@ -44,7 +44,8 @@ def per_key_quantiles(df: DataFrame, keys: list[str], row_id: str, value: str, q
 
     Plan: one shuffle on row_id (uniform), one written copy, then for each round one pass over it. Hot keys'
     rows never move: their few search states are broadcast. Other keys' rows meet their states in a shuffle
-    join. The number of rounds is logarithmic in the range of the values and independent of the row count.
+    join, or in a broadcast one as soon as a count proves that few states are left. The number of rounds is logarithmic in the
+    range of the values and independent of the row count.
     """
     names = {f"q{i}": p for i, p in enumerate(quantiles)}
     given, keys = keys, [f"__key{i}" for i in range(len(keys))]  # own names, whatever the columns are called
@@ -86,7 +87,7 @@ def _refined(values: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
         return binned.groupBy(*keys, "__hot", "q", "rank", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
 
     hot = histogram(values.join(F.broadcast(state.where("__hot")), keys))
-    cold = histogram(values.join(F.broadcast(state.where("__hot").select(*keys).distinct()), keys, "left_anti").join(state.where("NOT __hot"), keys))
+    cold = histogram(values.join(F.broadcast(state.where("__hot").select(*keys).distinct()), keys, "left_anti").join(broadcast_if_small(state.where("NOT __hot")), keys))
     w = Window.partitionBy(*keys, "q").orderBy("bin")
     before = F.col("upto") - F.col("c")
     return (
