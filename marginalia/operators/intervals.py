@@ -49,10 +49,11 @@ def _sweep(keep: DataFrame, remove: DataFrame | None, keys: list[str]) -> DataFr
     """Stretches between consecutive interval ends that lie in ``keep`` and not in ``remove``."""
 
     def events(intervals: DataFrame, kept: int, removed: int) -> DataFrame:
-        clipped = _clipped(intervals, keys)
-        return clipped.select(*keys, "__block", F.col("lo").alias("__at"), F.lit(kept).alias("__k"), F.lit(removed).alias("__r")).unionByName(
-            clipped.select(*keys, "__block", (F.col("hi") + 1).alias("__at"), F.lit(-kept).alias("__k"), F.lit(-removed).alias("__r"))
-        )
+        # Both ends come from one row, so the intervals are computed once.
+        first = F.struct(F.col("lo").alias("at"), F.lit(kept).alias("k"), F.lit(removed).alias("r"))
+        behind = F.struct((F.col("hi") + 1).alias("at"), F.lit(-kept).alias("k"), F.lit(-removed).alias("r"))
+        ends = _clipped(intervals, keys).select(*keys, "__block", F.explode(F.array(first, behind)).alias("__end"))
+        return ends.select(*keys, "__block", F.col("__end.at").alias("__at"), F.col("__end.k").alias("__k"), F.col("__end.r").alias("__r"))
 
     every = events(keep, 1, 0)
     if remove is not None:
