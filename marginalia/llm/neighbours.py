@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from marginalia.runtime import hash_sample
 
-#: Rows the codebooks are fitted on: those of the least hashes of their ids. All rows are indexed.
+#: Rows the codebooks are fitted on: any of the distinct ones among those of the least hashes of their ids. All rows are indexed.
 SAMPLE = 16_384
-#: Rows at most that tell how cells are filled: one of TREE_SHARE, at least SAMPLE.
+#: Rows beside them at least, if there are any, that tell how far approximations of rows not fitted on are off.
+HELD_OUT = 2_048
+#: Rows at most that tell how cells are filled: one of TREE_SHARE, at least SAMPLE and HELD_OUT.
 TREE_SAMPLE, TREE_SHARE = 131_072, 64
 #: Rows of the sample that a cell must have to be divided on their account.
 TOLD = 4
@@ -150,7 +152,10 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 def fit(sample: np.ndarray, population: int, books: int = BOOKS, words: int = WORDS, beam: int = BEAM, cell: int = CELL, rounds: int = 8, sweeps: int = 2, seed: int = 7) -> Quantiser:
     """Codebooks from unit vectors: residual k-means, then sweeps of beam encoding and joint refitting of all codewords."""
     rng = np.random.default_rng(seed)
-    every, sample = sample, sample[:SAMPLE]
+    every, held = sample, sample
+    if len(every) > SAMPLE:  # rows come in any order, even sorted
+        order = np.random.default_rng(seed).permutation(len(every))
+        sample, held = every[order[:SAMPLE]], every[order[SAMPLE : 2 * SAMPLE]]
     residual, made = sample.copy(), []
     for _ in range(books):
         book = _means(residual, words, rounds, rng)
@@ -168,9 +173,9 @@ def fit(sample: np.ndarray, population: int, books: int = BOOKS, words: int = WO
             book = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], q.books[b]).astype(np.float32)
             error = target - book[codes[:, b]]
             q.books[b] = book
-    codes, _ = q.encode(sample, beam)
+    codes, _ = q.encode(held, beam)
     near = q.decode(codes)
-    cosine = np.einsum("ij,ij->i", sample, near) / np.maximum(np.linalg.norm(near, axis=1), 1e-6)
+    cosine = np.einsum("ij,ij->i", held, near) / np.maximum(np.linalg.norm(near, axis=1), 1e-6)
     q.spread = float(np.sqrt(np.mean(1 / np.clip(cosine, 0.1, 1.0) ** 2 - 1)))
     # Cells that the sample doesn't tell about have as many codes as an even spread would need.
     q.least = max(1, min(books, DEPTHS, int(np.log(max(population / cell, 1)) / np.log(max(words, 2)))))
@@ -383,7 +388,7 @@ def nearest(
     leave out less similar ones. Ties go to the least id. Unusable vectors (null, other width, null, NaN or
     infinite values, all zero) neither ask nor are found. Rows of equal id are copies and count once. Empty
     input gives an empty result. sample: rows to fit on, by default SAMPLE for the codebooks and up to TREE_SAMPLE for the
-    cells. The result is approximate in which candidates are seen; every similarity is exact.
+    cells; SAMPLE of them, whichever way they are sorted, fit the codebooks. The result is approximate in which candidates are seen; every similarity is exact.
 
     If all rows ask, every row's codes (a few bytes) go to the cells of all its hypotheses and its vector asks in its
     home cell only; with few queries these ask in all their cells instead. Cells hold about ``cell`` rows, so the
@@ -393,14 +398,14 @@ def nearest(
     base = rows.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v"))
     population = base.count()
     base = base.where("id IS NOT NULL AND v IS NOT NULL")
-    picked = hash_sample(base.where(F.size("v") == dimensions), "id", sample or min(TREE_SAMPLE, max(SAMPLE, population // TREE_SHARE))).select("v").toArrow()
+    picked = hash_sample(base.where(F.size("v") == dimensions), "id", sample or min(TREE_SAMPLE, max(SAMPLE + HELD_OUT, population // TREE_SHARE))).select("v").toArrow()
     _, raw = usable(picked["v"], dimensions)
     schema = "id bigint, near bigint, similarity double, place int"
     if not len(raw):
         return spark.createDataFrame([], schema)
     # Copies share all codes and are listed a few times only: they needn't divide cells.
-    distinct = np.unique(raw, axis=0)
-    fitted = fit(normalised(distinct), -(-population * len(distinct) // len(raw)), words=min(WORDS, len(distinct)), cell=cell)
+    distinct = np.unique(normalised(raw), axis=0)
+    fitted = fit(distinct, -(-population * len(distinct) // len(raw)), words=min(WORDS, len(distinct)), cell=cell)
     quantiser = spark.sparkContext.broadcast(fitted)
     copies = k + 1
     if queries is None:

@@ -54,6 +54,22 @@ def test_recall(spark):
     assert {r.place for r in asked} == set(range(1, 11))
 
 
+def tangents(q, x):
+    near = q.decode(q.encode(x)[0])
+    cosine = np.einsum("ij,ij->i", x, near) / np.linalg.norm(near, axis=1)
+    return 1 / np.clip(cosine, 0.1, 1) ** 2 - 1
+
+
+def test_codebooks_see_all_directions_when_the_sample_is_cut(monkeypatch):
+    monkeypatch.setattr(nb, "SAMPLE", 1000)
+    x = np.unique(nb.normalised(clustered(6000, seed=3)), axis=0)  # sorted by the first coordinate
+    q = nb.fit(x, len(x))
+    off = tangents(q, x)
+    low, high = off[: len(x) // 2].mean(), off[len(x) // 2 :].mean()
+    assert high < 1.5 * low and low < 1.5 * high
+    assert abs(q.spread / np.sqrt(off.mean()) - 1) < 0.15
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     x = clustered(300, seed=2)
     same = x[7]
