@@ -2,7 +2,9 @@
 
 Texts become their words (longest runs of Unicode letters and digits, lower-cased) joined by single spaces.
 Every run of ``window`` words of a test item is a needle. With a budget of e character edits a needle is
-cut into e + 1 pieces of whole words; any text within e edits of it holds at least one piece unchanged.
+cut into e + 1 pieces of whole words that share no character; the blanks between them belong to none, and a
+piece may lie within longer words. So an edit breaks one piece at most, and any text within e edits of the
+needle holds at least one piece unchanged.
 All pieces of all items are sought at once by an Aho-Corasick automaton, and each hit is verified: equal
 text at its place is distance 0, all else goes through Myers' bit-parallel edit distance.
 """
@@ -63,7 +65,7 @@ class Needles:
         self.budget = budget
         self.needles: list[tuple[int, str, list[tuple[int, str]]]] = []  # item, text, (place, word)s
         ends = np.linspace(0, window, budget + 2).astype(int)
-        pieces: dict[str, list[tuple[int, int]]] = {}  # piece -> (needle, place in it, the piece's own blanks counted)
+        pieces: dict[str, list[tuple[int, int]]] = {}  # piece -> (needle, place in it)
         for item, passage in items:
             found = words(passage)
             for i in range(len(found) - window + 1):
@@ -71,7 +73,7 @@ class Needles:
                 places = np.concatenate([[0], np.cumsum([len(w) + 1 for w in own])])
                 self.needles.append((item, f" {' '.join(own)} ", [(int(p) + 1, w) for p, w in zip(places, own, strict=False)]))
                 for a, b in zip(ends, ends[1:], strict=False):
-                    pieces.setdefault(f" {' '.join(own[a:b])} ", []).append((len(self.needles) - 1, int(places[a])))
+                    pieces.setdefault(" ".join(own[a:b]), []).append((len(self.needles) - 1, int(places[a]) + 1))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in pieces.items():
             self.automaton.add_word(piece, (len(piece), uses))

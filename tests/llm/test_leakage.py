@@ -62,6 +62,22 @@ def test_search_equals_brute_force():
         assert all(got[i] >= want[i] for i in got)
 
 
+def test_edits_at_the_blanks_between_pieces_equal_brute_force():
+    own = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    needles = leakage.Needles([(1, " ".join(own))])
+    line = " ".join(own)
+    blanks = [i for i, c in enumerate(line) if c == " "]
+    joined = [line[:i] + line[i + 1 :] for i in blanks]
+    split = [line[:i] + " " + line[i:] for i in range(1, len(line)) if " " not in line[i - 1 : i + 1]]
+    typos = [*joined, *split]
+    typos += [t[:i] + t[i + 1 :] for t in joined for i, c in enumerate(t) if c == " "]  # two blanks gone
+    typos += [t[:i] + "e" + t[i + 1 :] for t in joined for i in range(0, len(t), 3) if t[i] != " "]
+    typos.append(line.replace("delta epsilon", "deltaepsilon").replace("kappa", "kappe"))
+    for text in typos:
+        want = distance(line, text)
+        assert want <= 2 and needles.search(text) == {1: want}, text
+
+
 def test_words():
     assert leakage.words("Don't_stop  Übung-3x, 日本 ²a") == ["don", "t", "stop", "übung", "3x", "日本", "²a"]
     assert leakage.words(None) == leakage.words(" .,") == []
