@@ -6,7 +6,7 @@ cut into e + 1 pieces of whole words that share no character; the blanks between
 piece may lie within longer words. So an edit breaks one piece at most, and any text within e edits of the
 needle holds at least one piece unchanged.
 All pieces of all items are sought at once by an Aho-Corasick automaton, and each hit is verified: equal
-text at its place is distance 0, all else goes through Myers' bit-parallel edit distance.
+words at its place are distance 0, all else goes through Myers' bit-parallel edit distance and is 1 at least.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ class Needles:
                 continue
             distance = myers(own[1:-1], line[max(0, at - self.budget) : at + len(own) + self.budget], most)
             if distance <= most:
-                best[item] = distance
+                best[item] = max(1, distance)  # equal text that starts or ends within a longer word isn't distance 0
         return best
 
     def _plausible(self, line: str, at: int, parts: list[tuple[int, str]]) -> bool:

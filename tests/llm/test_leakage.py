@@ -78,6 +78,15 @@ def test_edits_at_the_blanks_between_pieces_equal_brute_force():
         assert want <= 2 and needles.search(text) == {1: want}, text
 
 
+def test_words_within_longer_words_are_not_distance_0():
+    own = "the index of the second shop holds every document that was rendered".split()
+    needles = leakage.Needles([(1, " ".join(own))])
+    assert needles.search(" ".join(own)) == {1: 0}
+    assert needles.search("x " + " ".join(own)[:-1] + "ds y") == {1: 1}
+    assert needles.search(" ".join(own) + "s") == needles.search("ba" + " ".join(own)) == {1: 1}
+    assert needles.search(" ".join(own) + "s " + " ".join(own)) == {1: 0}
+
+
 def test_words():
     assert leakage.words("Don't_stop  Übung-3x, 日本 ²a") == ["don", "t", "stop", "übung", "3x", "日本", "²a"]
     assert leakage.words(None) == leakage.words(" .,") == []
