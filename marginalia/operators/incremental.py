@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import intervals as iv
 from marginalia.runtime import broadcast_if_small, cut_lineage
-from marginalia.sources.store import SnapshotStore
+from marginalia.sources.store import CommitConflict, SnapshotStore
 
 
 def record_states(current: DataFrame, ledger: DataFrame, runs: DataFrame) -> DataFrame:
@@ -50,50 +50,64 @@ def record_states(current: DataFrame, ledger: DataFrame, runs: DataFrame) -> Dat
     return both.select("table_name", "record_id", same.alias("processed"))
 
 
-def pending_intervals(states: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gaps, processed) of record states: available ranges minus processed ranges, and the latter merged."""
+def pending_intervals(states: DataFrame) -> DataFrame:
+    """Gaps of record states: the available ranges minus the processed ones."""
     keys = ["table_name"]
-    available = iv.islands(states, keys, "record_id")
-    processed = iv.islands(states.where("processed"), keys, "record_id")
-    return iv.subtract(available, processed, keys), iv.merge(processed, keys)
+    available, processed = iv.islands(states, keys, "record_id"), iv.islands(states.where("processed"), keys, "record_id")
+    return iv.subtract(available, processed, keys, within_blocks=True)
+
+
+def processed_intervals(states: DataFrame) -> DataFrame:
+    """The processed ranges of record states, merged."""
+    return iv.merge(iv.islands(states.where("processed"), ["table_name"], "record_id"), ["table_name"])
 
 
 def pending_records(current: DataFrame, ledger: DataFrame, runs: DataFrame) -> DataFrame:
     """(table_name, record_id) of every record that is new or changed since the last successful run."""
     states = cut_lineage(record_states(current, ledger, runs))
-    gaps, _ = pending_intervals(states)
-    return iv.expand(gaps, ["table_name"], "record_id")
+    return iv.expand(pending_intervals(states), ["table_name"], "record_id")
 
 
 class IncrementalProcessor:
-    """Runs that process each sequence number exactly once, whatever fails and however late numbers commit.
+    """Runs that process each sequence number exactly once, whatever fails, however late numbers commit, whoever else runs.
 
     Output and merged processed intervals are published by one pointer of the snapshot store: either both
-    or neither. Nothing is a high-water mark, so a number that commits after larger ones were processed is
-    a gap and is worked on by the next run. Empty input commits nothing. Rows whose number is null are
-    left out; of rows with equal number all are processed together.
+    or neither, and only if nobody else committed since the intervals were read. A run that lost that race has
+    published nothing and begins anew with the intervals as they are then. Nothing is a high-water mark, so a number
+    that commits after larger ones were processed is a gap and is worked on by the next run. Empty input commits
+    nothing. Rows whose number or key is null are left out; of rows with equal number all are processed together.
     """
 
-    def __init__(self, spark: SparkSession, store: SnapshotStore, output: str = "output", keys: tuple[str, ...] = ("table_name",)) -> None:
-        self.spark, self.store, self.output, self.keys = spark, store, output, list(keys)
+    def __init__(self, spark: SparkSession, store: SnapshotStore, output: str = "output", keys: tuple[str, ...] = ("table_name",), attempts: int = 5) -> None:
+        self.spark, self.store, self.output, self.keys, self.attempts = spark, store, output, list(keys), attempts
 
-    def processed(self, like: DataFrame) -> DataFrame:
-        if self.store.has("intervals"):
-            return self.store.read(self.spark, "intervals")
+    def processed(self, like: DataFrame, version: int | None = None) -> DataFrame:
+        if self.store.has("intervals", version):
+            return self.store.read(self.spark, "intervals", version)
         return like.select(*self.keys, F.lit(0).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("hi")).limit(0)
 
-    def pending(self, source: DataFrame, number: str) -> tuple[DataFrame, DataFrame]:
-        """(rows to process, their intervals)."""
-        gaps = cut_lineage(iv.subtract(iv.islands(source, self.keys, number), self.processed(source), self.keys))
+    def pending(self, source: DataFrame, number: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(rows to process, their intervals), by the intervals of a version."""
+        gaps = cut_lineage(iv.subtract(iv.islands(source, self.keys, number), self.processed(source, version), self.keys))
         todo = iv.expand(gaps, self.keys, number)
         return source.join(todo, [*self.keys, number], "left_semi"), gaps
 
     def run(self, source: DataFrame, number: str, process: Callable[[DataFrame], DataFrame]) -> int:
-        """Process what is pending; the count of intervals worked on. An exception leaves the last commit as it is."""
-        rows, gaps = self.pending(source, number)
-        worked = gaps.count()
-        if not worked:
-            return 0
-        merged = iv.merge(self.processed(source), self.keys, gaps)
-        self.store.commit({"intervals": merged}, append={self.output: process(rows)})
-        return worked
+        """Process what is pending; the count of intervals worked on. An exception leaves the last commit as it is.
+
+        CommitConflict after ``attempts`` lost races.
+        """
+        for attempt in range(self.attempts):
+            base = self.store.version
+            rows, gaps = self.pending(source, number, base)
+            worked = gaps.count()
+            if not worked:
+                return 0
+            merged = iv.merge(self.processed(source, base), self.keys, gaps)
+            try:
+                self.store.commit({"intervals": merged}, append={self.output: process(rows)}, expected=base)
+                return worked
+            except CommitConflict:
+                if attempt == self.attempts - 1:
+                    raise
+        return 0

@@ -1,9 +1,11 @@
 """References to records that do not exist, per table and period, and row by row.
 
-Skew-aware split. References are counted per key first (partial aggregation, then one row a key). Keys
-with more than a fixed share of all references are heavy; there can be at most HOT_SHARE of them, so their
-verdicts are broadcast and their rows never move. All other keys go through a shuffle join with the
-targets. Both halves are united.
+Skew-aware split. References are counted per key and period first (partial aggregation), and only those sums meet
+the targets. Keys with more than a fixed share of all references are heavy; there can be at most HOT_SHARE of them,
+so they are looked up among the targets by broadcast. The sums of all other keys go through a shuffle join. Both are united.
+A sum is decided as a whole unless its period is the one in which the target was created. Rows are looked at only for
+the keys that such sums leave open, or, where rows are wanted, for the keys with any orphan: heavy keys by broadcast,
+so their rows never move, the others by shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.runtime import broadcast_if_small, cut_lineage
+from marginalia.runtime import cut_lineage
 
 #: A key with more than 1/HOT_SHARE of the references is heavy; so at most HOT_SHARE keys are broadcast.
 HOT_SHARE = 1000
@@ -34,47 +36,72 @@ def live_targets(targets: DataFrame, deletions: DataFrame) -> DataFrame:
     )
 
 
-def orphans(references: DataFrame, targets: DataFrame, deletions: DataFrame) -> DataFrame:
-    """Rows of ``references`` (kind, key, created_at, and any other columns) whose target is missing, deleted or later.
+def _judged(present: DataFrame, targets: DataFrame, deletions: DataFrame, group: list[str]) -> DataFrame:
+    """(group, kind, key, __month, __n, __heavy, __there, __born): sums of references by key and month with what their target is like.
 
-    "Later" compares the target's creation with the referring row's and never holds if either is null. Null
-    keys and kinds are left out. Rows that repeat in the input repeat in the result.
+    The heavy keys are sent to the targets, not the targets to them; what comes back has one row a key.
     """
-    present = references.where(F.col("kind").isNotNull() & F.col("key").isNotNull())
-    counts = cut_lineage(present.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")))
+    sums = cut_lineage(present.groupBy(*group, "kind", "key", "__month").agg(F.count(F.lit(1)).alias("__n")))
+    counts = cut_lineage(sums.groupBy("kind", "key").agg(F.sum("__n").alias("__all")))
+    total = counts.agg(F.sum("__all")).first()[0] or 0
+    heavy = cut_lineage(counts.where(F.col("__all") > F.lit(total / HOT_SHARE)).select("kind", "key"))  # at most HOT_SHARE rows
     live = live_targets(targets, deletions).select("kind", "key", F.col("born").alias("__born"), F.lit(True).alias("__there"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.where(F.col("n") > F.lit(total / HOT_SHARE)).select("kind", "key")  # at most HOT_SHARE rows
-    # The few heavy keys go to the targets, not the targets to them.
     there = live.join(F.broadcast(heavy), ["kind", "key"], "left_semi")
-    verdicts = F.broadcast(cut_lineage(heavy.join(F.broadcast(there), ["kind", "key"], "left")))
-    hot = present.join(F.broadcast(heavy), ["kind", "key"], "left_semi")
-    cold = present.join(F.broadcast(heavy), ["kind", "key"], "left_anti")
+    verdicts = heavy.join(F.broadcast(there), ["kind", "key"], "left").withColumn("__heavy", F.lit(True))
+    hot = sums.join(F.broadcast(verdicts), ["kind", "key"])
+    cold = sums.join(F.broadcast(heavy), ["kind", "key"], "left_anti").join(live, ["kind", "key"], "left").withColumn("__heavy", F.lit(False))
+    return hot.unionByName(cold)
+
+
+def _open_to(judged: DataFrame) -> tuple[Column, Column]:
+    """(whether all of a sum's references are orphans, whether its rows must be looked at)."""
+    born = month_of(F.col("__born"))
+    dated = F.col("__there") & F.col("__born").isNotNull() & (F.col("__month") != "none")
+    return F.col("__there").isNull() | F.coalesce(dated & (born > F.col("__month")), F.lit(False)), F.coalesce(dated & (born == F.col("__month")), F.lit(False))
+
+
+def _looked_at(present: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """present joined with keys (on, __heavy, ...): heavy keys' few rows are broadcast, the others are shuffled.
+
+    keys has at most one row for each value of ``on``, and heavy ones are few by their definition.
+    """
+    hot, cold = keys.where("__heavy").drop("__heavy"), keys.where("NOT __heavy").drop("__heavy")
+    return present.join(F.broadcast(hot), on).unionByName(present.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
 
-    def judged(rows: DataFrame, against: DataFrame) -> DataFrame:
-        later = F.coalesce(F.col("__born") > F.col("created_at"), F.lit(False))
-        return rows.join(against, ["kind", "key"], "left").where(F.col("__there").isNull() | later).drop("__born", "__there")
 
-    return judged(hot, verdicts).unionByName(judged(cold, live))
+def _present(references: DataFrame) -> DataFrame:
+    return references.where(F.col("kind").isNotNull() & F.col("key").isNotNull()).withColumn("__month", month_of(F.col("created_at")))
+
+
+def orphans(references: DataFrame, targets: DataFrame, deletions: DataFrame) -> DataFrame:
+    """Rows of ``references`` (kind, key, created_at, and any other columns) whose target is missing, deleted or later.
+
+    "Later" compares the target's creation with the referring row's and never holds if either is null. Null
+    keys and kinds are left out. Rows that repeat in the input repeat in the result.
+    """
+    present = _present(references)
+    judged = _judged(present, targets, deletions, [])
+    whole, rows = _open_to(judged)
+    # Keys whose sums are all in order are done with; of the others each row is judged.
+    bad = cut_lineage(judged.where(whole | rows).select("kind", "key", "__heavy", "__born", "__there").distinct())
+    later = F.coalesce(F.col("__born") > F.col("created_at"), F.lit(False))
+    return _looked_at(present, bad, ["kind", "key"]).where(F.col("__there").isNull() | later).select(*references.columns)
 
 
 def orphan_counts(references: DataFrame, targets: DataFrame, deletions: DataFrame) -> DataFrame:
     """(ref_table, ref_field, ref_month, orphans): orphan references per table, field and month.
 
-    references as for ``orphans``, with ref_table, ref_field and ref_month (as ``month_of`` gives it). They are summed
-    to one row for each key and month first, and only those sums meet the targets. A sum is decided as a whole unless
-    its month is the very one in which the target was created; of those few the rows themselves are looked at.
+    references as for ``orphans``, with ref_table and ref_field; the month is that of created_at, or none if null.
     """
-    group = ["ref_table", "ref_field", "ref_month"]
-    present = references.where(F.col("kind").isNotNull() & F.col("key").isNotNull()).select(*group, "kind", "key", "created_at")
-    sums = cut_lineage(present.groupBy(*group, "kind", "key").agg(F.count(F.lit(1)).alias("__n")))
-    live = live_targets(targets, deletions).select("kind", "key", F.col("born").alias("__born"), F.lit(True).alias("__there"))
-    judged = cut_lineage(sums.join(live, ["kind", "key"], "left").withColumn("__month", month_of(F.col("__born"))))
-    dated = F.col("__there") & F.col("__born").isNotNull() & (F.col("ref_month") != "none")
-    whole = judged.where(F.col("__there").isNull() | (dated & (F.col("__month") > F.col("ref_month")))).select(*group, "__n")
-    undecided = judged.where(dated & (F.col("__month") == F.col("ref_month"))).select(*group, "kind", "key", "__born")
-    rows = present.join(broadcast_if_small(undecided), [*group, "kind", "key"]).where(F.col("created_at") < F.col("__born"))
-    return whole.unionByName(rows.select(*group, F.lit(1).cast("bigint").alias("__n"))).groupBy(*group).agg(F.sum("__n").alias("orphans"))
+    group = ["ref_table", "ref_field"]
+    present = _present(references).select(*group, "__month", "kind", "key", "created_at")
+    judged = cut_lineage(_judged(present, targets, deletions, group))
+    whole, rows = _open_to(judged)
+    on = [*group, "__month", "kind", "key"]  # a key is left open in one month only: that of its target
+    left = judged.where(rows).select(*on, "__heavy", "__born")
+    single = _looked_at(present, left, on).where(F.col("created_at") < F.col("__born")).select(*group, "__month", F.lit(1).cast("bigint").alias("__n"))
+    every = judged.where(whole).select(*group, "__month", "__n").unionByName(single)
+    return every.groupBy(*group, F.col("__month").alias("ref_month")).agg(F.sum("__n").alias("orphans"))
 
 
 def month_of(created_at: Column) -> Column:

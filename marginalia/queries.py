@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia import index_queries
 from marginalia.operators import diffing, hotkeys, incremental, references
+from marginalia.runtime import cut_lineage, shared_dir
+from marginalia.sources.store import SnapshotStore
 from marginalia.sources.tables import KIND_TABLES, current_rows, kind_of, micros, table
 
 # -- 2: new or changed records ----------------------------------------------------------------------
@@ -29,9 +33,57 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_processed_intervals(spark: SparkSession, d: str) -> DataFrame:
     """The merged intervals of ids whose records are as the last successful run left them."""
     states = incremental.record_states(_current_records(spark, d), table(spark, d, "sync_ledger"), table(spark, d, "sync_runs"))
-    _, processed = incremental.pending_intervals(states)
-    return processed
+    return incremental.processed_intervals(states)
+
+
+def _two_runs_source(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, record_id, at): each record of the two tables once."""
+    parts = [table(spark, d, name).where("id IS NOT NULL").groupBy(F.col("id").alias("record_id")).agg(F.min("created_at").alias("at")).select(F.lit(name).alias("table_name"), "record_id", "at") for name in ("rag_documents", "rag_chunks")]
+    return parts[0].unionByName(parts[1])
+
+
+class _Died(RuntimeError):
+    pass
+
+
+class _DyingStore(SnapshotStore):
+    """Its writer dies when all tables are written and before anything is published."""
+
+    def _publish(self, version: int, manifest: dict[str, list[str]]) -> None:
+        raise _Died
+
 
+def p2_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """How often each record was processed by runs of which one dies at work, one commits while another works, and late records come between.
+
+    The first run sees the records made in the earlier half of the time, whatever their ids; later ones see all.
+    """
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/two-runs-{uuid.uuid4().hex[:8]}")
+    runner, rival = (incremental.IncrementalProcessor(spark, store) for _ in range(2))
+    every = cut_lineage(_two_runs_source(spark, d))
+    low, high = every.agg(F.min(F.unix_micros(F.col("at").cast("timestamp"))), F.max(F.unix_micros(F.col("at").cast("timestamp")))).first()
+    early = every.where(F.unix_micros(F.col("at").cast("timestamp")) <= ((low or 0) + (high or 0)) // 2)
+    keep = lambda rows: rows.select("table_name", "record_id")
+    runner.run(early, "record_id", keep)
+    try:
+        incremental.IncrementalProcessor(spark, _DyingStore(spark, store.root)).run(every, "record_id", keep)
+    except _Died:
+        pass
+
+    def overtaken(rows: DataFrame) -> DataFrame:
+        if store.version == 1:  # while this one works, the other commits part of the same
+            rival.run(every.where("table_name = 'rag_chunks'"), "record_id", keep)
+        return keep(rows)
+
+    runner.run(every, "record_id", overtaken)
+    if not store.has("output"):
+        return keep(every.limit(0)).withColumn("times", F.lit(0).cast("bigint"))
+    return store.read(spark, "output").groupBy("table_name", "record_id").agg(F.count(F.lit(1)).alias("times"))
+
+
+P2_TWO_RUNS_SQL = """
+SELECT 'rag_documents' AS table_name, id AS record_id, 1 AS times FROM rag_documents WHERE id IS NOT NULL GROUP BY id
+UNION ALL SELECT 'rag_chunks', id, 1 FROM rag_chunks WHERE id IS NOT NULL GROUP BY id"""
 
 _STATES_SQL = """
 WITH cur AS (
@@ -70,7 +122,7 @@ _KEY = ["dependency_kind", "dependency_id"]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return hotkeys.heavy_keys(_dependencies(spark, d), _KEY, "id", "at", share=0.02).select(*_KEY)
+    return hotkeys.heavy_keys(_dependencies(spark, d), _KEY, "id", share=0.02).select(*_KEY)
 
 
 def p3_quantiles(spark: SparkSession, d: str) -> DataFrame:
@@ -102,17 +154,15 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     kinds = list(KIND_TABLES)
     documents = current_rows(table(spark, d, "rag_documents"), "id", "version", "model_type", "model_id", "created_at")
     dependencies = table(spark, d, "rag_dependencies").where("id IS NOT NULL").dropDuplicates(["id"])
-
-    def field(df: DataFrame, name: str, column: str, kind: Column) -> DataFrame:
-        return df.select(
-            F.lit(name).alias("ref_table"), F.lit(column).alias("ref_field"), F.col("id").alias("row_id"),
-            references.month_of(F.col("created_at")).alias("ref_month"), kind.alias("kind"), F.col(column).cast("bigint").alias("key"), "created_at",
-        )
-
+    both = F.array(
+        F.struct(F.lit("dependency_id").alias("f"), kind_of(F.col("dependency_type")).alias("kind"), F.col("dependency_id").cast("bigint").alias("key")),
+        F.struct(F.lit("document_id").alias("f"), F.lit("ragdocument").alias("kind"), F.col("document_id").cast("bigint").alias("key")),
+    )
     found = (
-        field(documents, "rag_documents", "model_id", kind_of(F.col("model_type")))
-        .unionByName(field(dependencies, "rag_dependencies", "dependency_id", kind_of(F.col("dependency_type"))))
-        .unionByName(field(dependencies, "rag_dependencies", "document_id", F.lit("ragdocument")))
+        documents.select(F.lit("rag_documents").alias("ref_table"), F.lit("model_id").alias("ref_field"), F.col("id").alias("row_id"), kind_of(F.col("model_type")).alias("kind"), F.col("model_id").cast("bigint").alias("key"), "created_at")
+        .unionByName(
+            dependencies.select("id", "created_at", F.explode(both).alias("r")).select(F.lit("rag_dependencies").alias("ref_table"), F.col("r.f").alias("ref_field"), F.col("id").alias("row_id"), "r.kind", "r.key", "created_at")
+        )
         .where(F.col("kind").isin(kinds) & F.col("key").isNotNull())
     )
     targets = None
@@ -125,7 +175,8 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return references.orphans(*_references(spark, d)).select("ref_table", "ref_field", "row_id", "ref_month")
+    found = references.orphans(*_references(spark, d))
+    return found.select("ref_table", "ref_field", "row_id", references.month_of(F.col("created_at")).alias("ref_month"))
 
 
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -178,6 +229,7 @@ UNION ALL SELECT a.id, 'model_id' FROM a JOIN b USING (id) WHERE a.model_id IS D
 QUERIES = {
     "p2_found": (p2_found, P2_FOUND_SQL),
     "p2_processed_intervals": (p2_processed_intervals, P2_INTERVALS_SQL),
+    "p2_two_runs": (p2_two_runs, P2_TWO_RUNS_SQL),
     "p3_found": (p3_found, P3_FOUND_SQL),
     "p3_quantiles": (p3_quantiles, P3_QUANTILES_SQL),
     "p4_found": (p4_found, P4_FOUND_SQL),

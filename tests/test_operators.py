@@ -6,7 +6,7 @@ import pytest
 from marginalia.operators import diffing, hotkeys, incremental, references
 from marginalia.operators import intervals as iv
 from marginalia.runtime import hash_sample
-from marginalia.sources.store import SnapshotStore
+from marginalia.sources.store import CommitConflict, SnapshotStore
 
 # -- intervals -------------------------------------------------------------
 
@@ -33,6 +33,27 @@ def test_interval_algebra_equals_sets(spark):
     assert iv.merge(empty, ["k"]).count() == 0 and numbers(iv.subtract(da, empty, ["k"])) >= {x for x in sa if x[0]}
 
 
+def test_intervals_of_any_length_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(iv, "BLOCK_BITS", 2)  # many blocks, nodes of several levels and regions
+    monkeypatch.setattr(iv, "BLOCK", 4)
+    rng = random.Random(8)
+    some = lambda n, most: [(rng.choice("xy"), lo := rng.randrange(-90, 300), lo + rng.randrange(most)) for _ in range(n)]
+    a, b = some(25, 60) + [("x", 5, 4), ("x", None, 3), (None, 1, 2)], some(12, 150) + [("y", 7, 7)]
+    da, db = (spark.createDataFrame(x, "k string, lo bigint, hi bigint") for x in (a, b))
+    sets = lambda rows: {(k, n) for k, lo, hi in rows if k and lo is not None for n in range(lo, hi + 1)}
+    assert numbers(iv.subtract(da, db, ["k"])) == sets(a) - sets(b)
+    for merged, want in ((iv.merge(da, ["k"], db), sets(a) | sets(b)), (iv.merge(db, ["k"]), sets(b))):
+        rows = sorted((r.k, r.lo, r.hi) for r in merged.collect())
+        assert numbers(merged) == want and all(x[0] != y[0] or y[1] - x[2] > 1 for x, y in zip(rows, rows[1:]))
+
+
+def test_merged_intervals_are_not_unrolled(spark):
+    wide = spark.createDataFrame([("x", 0, 10**15), ("x", 10**15 + 1, 10**15 + 5)], "k string, lo bigint, hi bigint")
+    few = spark.createDataFrame([("x", 10**9, 10**9 + 9), ("x", 10**15 - 2, 10**15 + 8)], "k string, lo bigint, hi bigint")
+    assert [tuple(r) for r in iv.merge(wide, ["k"]).collect()] == [("x", 0, 10**15 + 5)]
+    assert [tuple(r)[1:] for r in iv.subtract(few, wide, ["k"]).collect()] == [(10**15 + 6, 10**15 + 8)]
+
+
 def test_long_intervals_span_blocks(spark):
     wide = spark.createDataFrame([("x", 5, 3 * iv.BLOCK + 7), ("x", 3 * iv.BLOCK + 8, 3 * iv.BLOCK + 9)], "k string, lo bigint, hi bigint")
     assert [tuple(r) for r in iv.merge(wide, ["k"]).collect()] == [("x", 5, 3 * iv.BLOCK + 9)]
@@ -80,6 +101,42 @@ def test_processor_skips_and_repeats_nothing(spark, tmp_path):
     assert sorted((r.lo, r.hi) for r in p.store.read(spark, "intervals").collect()) == [(1, 3), (5, 5), (7, 8)]
 
 
+def test_two_runners_on_one_store(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    one, other = (incremental.IncrementalProcessor(spark, store) for _ in range(2))
+    source = spark.createDataFrame([("t", n) for n in (1, 2, 3)] + [(None, 4)], "table_name string, seq bigint")
+    more = source.unionByName(spark.createDataFrame([("t", 9)], source.schema))
+
+    def overtaken(df):
+        if not store.version:
+            other.run(more, "seq", lambda d: d)
+        return df
+
+    assert one.run(source, "seq", overtaken) == 0  # all it had begun was done by the other meanwhile
+    assert sorted(r.seq for r in store.read(spark, "output").collect()) == [1, 2, 3, 9]
+    assert sorted((r.lo, r.hi) for r in store.read(spark, "intervals").collect()) == [(1, 3), (9, 9)]
+    always = incremental.IncrementalProcessor(spark, store, attempts=2)
+
+    def each_time(df):
+        store.commit({"other": spark.range(1)})
+        return df
+
+    with pytest.raises(CommitConflict):
+        always.run(more.unionByName(spark.createDataFrame([("t", 11)], source.schema)), "seq", each_time)
+    assert store.read(spark, "output").count() == 4
+
+
+def test_torn_pointers_are_passed_over(spark, tmp_path):
+    p = incremental.IncrementalProcessor(spark, SnapshotStore(spark, str(tmp_path)))
+    source = lambda ns: spark.createDataFrame([("t", n) for n in ns], "table_name string, seq bigint")
+    p.run(source([1, 2]), "seq", lambda d: d)
+    (tmp_path / "commit-000000002.json").write_text("")  # as a writer leaves it that dies between creating and filling
+    assert p.store.version == 1 and p.run(source([1, 2]), "seq", lambda d: d) == 0
+    assert p.run(source([1, 2, 3]), "seq", lambda d: d) == 1 and p.store.version == 3
+    assert sorted(r.seq for r in p.store.read(spark, "output").collect()) == [1, 2, 3]
+    assert not [f for f in tmp_path.iterdir() if f.name.startswith(".pointer")]
+
+
 # -- hot keys --------------------------------------------------------------
 
 
@@ -113,6 +170,26 @@ def test_share_is_inclusive(spark):
     assert hotkeys.heavy_keys(df, ["k"], "id", "v", 0.02).count() == 50
 
 
+@pytest.mark.parametrize("share", [0.001, 0.02, 0.3, 1.0])
+def test_heavy_keys_equal_counting(spark, share):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([1, 1, 1, 2, 2, 3] + [rng.randrange(400)] * 6)) for i in range(2000)] + [(9000, None), (None, 1)]
+    df = spark.createDataFrame(rows + rows[:300], "id bigint, k bigint").selectExpr("*", "1 AS n", "'x' AS q")
+    counts = {}
+    for i, k in set(rows):
+        if i is not None and k is not None:
+            counts[k] = counts.get(k, 0) + 1
+    got = {(r.k, r.n) for r in hotkeys.heavy_keys(df, ["k"], "id", share=share).collect()}
+    assert got == {(k, n) for k, n in counts.items() if n >= share * 2000}
+    assert hotkeys.heavy_keys(df.limit(0), ["k"], "id", share=share).count() == 0
+
+
+def test_selection_over_the_whole_range(spark):
+    ends = [-(2**63), -1, 0, 2**63 - 1]
+    df = spark.createDataFrame([(i, "a", v) for i, v in enumerate(ends)], "id bigint, k string, v bigint")
+    assert tuple(hotkeys.per_key_quantiles(df, ["k"], "id", "v", (0.25, 0.5, 0.75, 1.0)).first())[3:] == tuple(ends)
+
+
 def test_hash_sample_is_bounded_and_stable(spark):
     df = spark.range(20_000).withColumnRenamed("id", "k")
     a, b = (sorted(r.k for r in hash_sample(d, "k", 700).collect()) for d in (df, df.repartition(7)))
