@@ -35,13 +35,20 @@ class EngineConfig:
     debounce_seconds: int = 5
     max_limit: int = 1000
     search_mode: str = "exact"
+    id_type: str = "bigint"
+    buckets: int = 64
+    attempts: int = 3
 
     def __post_init__(self) -> None:
         check_chunking(self.max_tokens, self.overlap)
         if self.dimensions < 1:
             raise ValueError("dimensions must be at least 1")
-        if self.search_mode not in ("exact", "vectorised", "lsh"):
-            raise ValueError("search_mode must be exact, vectorised or lsh")
+        if self.search_mode not in ("exact", "vectorised", "ann"):
+            raise ValueError("search_mode must be exact, vectorised or ann")
+        if self.id_type not in ("bigint", "string"):
+            raise ValueError("id_type must be bigint or string")
+        if self.buckets < 1 or self.attempts < 1:
+            raise ValueError("buckets and attempts must be at least 1")
 
     def with_(self, **changes: Any) -> EngineConfig:
         return replace(self, **changes)
@@ -57,14 +64,20 @@ def check_chunking(max_tokens: int, overlap: int) -> None:
 
 
 def configuration_hash(spec, config: EngineConfig) -> str:
-    """Hash of everything a document's text, chunks and vectors depend on besides the data; the provider as configured, null too."""
+    """Hash of everything a document's text, chunks and vectors depend on besides the data; the provider as configured, null too.
+
+    The tokenizer counts by its identity, which for a vocabulary says what is in it.
+    """
+    from marginalia.functions.tokens import make_tokenizer
+
+    identity = make_tokenizer(config.tokenizer, config.tokenizer_path).identifier()
     return sha256(
         canonical_json(
             {
                 "content": list(spec.content),
                 "relations": list(spec.relations),
                 "orderedPaths": list(spec.ordered),
-                "chunk": {"max_tokens": config.max_tokens, "overlap": config.overlap, "tokenizer": config.tokenizer},
+                "chunk": {"max_tokens": config.max_tokens, "overlap": config.overlap, "tokenizer": identity},
                 "embedding": {"provider": config.provider, "model": config.model, "dimensions": config.dimensions},
             }
         )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import codecs
+import hashlib
 import importlib
 from pathlib import Path
 from typing import Protocol, runtime_checkable
@@ -56,8 +58,17 @@ class WhitespaceTokenizer:
         return "whitespace"
 
 
+#: Fixed value: what stands for bytes that are no UTF-8.
+_FAULT = "?"
+codecs.register_error("marginalia.fault", lambda e: (_FAULT, e.end))
+
+
 def trim_partial(raw: bytes) -> str:
-    """The text of a slice of UTF-8: at most three continuation bytes at its start and a cut-off character at its end go, other faults too."""
+    """The text of a slice of UTF-8: at most three continuation bytes at its start and a cut-off character at its end go, other faults are replaced."""
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
     start = 0
     while start < min(3, len(raw)) and raw[start] & 0xC0 == 0x80:
         start += 1
@@ -70,24 +81,27 @@ def trim_partial(raw: bytes) -> str:
         if width != back and (width == 0 or width > back):
             end -= back
         break
-    return raw[start:end].decode("utf-8", "ignore")
+    return raw[start:end].decode("utf-8", "marginalia.fault")
 
 
 class VocabularyTokenizer:
-    """Byte-level tokens of a public vocabulary file; a slice of tokens decodes without broken characters at its edges."""
+    """Byte-level tokens of a public vocabulary file; a slice of tokens decodes without broken characters at its edges.
 
-    def __init__(self, path: str, pattern: str | None = None) -> None:
+    raw: the file's bytes, where it has been read elsewhere.
+    """
+
+    def __init__(self, path: str, pattern: str | None = None, raw: bytes | None = None) -> None:
         try:
             import tiktoken
         except ImportError as e:
             raise InvalidTokenizer("a vocabulary tokenizer needs the package tiktoken") from e
         file = Path(path)
-        if not file.exists():
-            raise InvalidTokenizer(f"there is no vocabulary {path}")
-        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, file.read_bytes().splitlines())}
+        if raw is None:
+            raw = vocabulary(path)
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())}
         # Fixed value: the pattern by which this vocabulary cuts texts.
         pattern = pattern or r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self._name = file.stem
+        self._name = f"{file.stem}:{hashlib.sha256(raw + pattern.encode()).hexdigest()[:16]}"
         self._encoding = tiktoken.Encoding(file.stem, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
@@ -97,11 +111,32 @@ class VocabularyTokenizer:
         return trim_partial(self._encoding.decode_bytes(tokens))
 
     def identifier(self) -> str:
+        """The name of the file and a digest of what it holds, so that another vocabulary is another tokenizer wherever it lies."""
         return f"tiktoken:{self._name}"
 
 
-#: Vocabularies a worker process has loaded, by path.
-_LOADED: dict[str, Tokenizer] = {}
+#: Bytes a vocabulary may have; it is broadcast.
+VOCABULARY_BYTES = 64 << 20
+
+
+def vocabulary(path: str) -> bytes:
+    file = Path(path)
+    if not file.exists():
+        raise InvalidTokenizer(f"there is no vocabulary {path}")
+    if file.stat().st_size > VOCABULARY_BYTES:
+        raise InvalidTokenizer(f"vocabulary {path} is larger than {VOCABULARY_BYTES} bytes")
+    return file.read_bytes()
+
+
+#: Vocabularies a process has loaded, by path and content.
+_LOADED: dict[tuple[str, str], Tokenizer] = {}
+
+
+def load_vocabulary(path: str, raw: bytes) -> Tokenizer:
+    key = (path, hashlib.sha256(raw).hexdigest())
+    if key not in _LOADED:
+        _LOADED[key] = VocabularyTokenizer(path, raw=raw)
+    return _LOADED[key]
 
 
 def make_tokenizer(driver: str, path: str | None = None) -> Tokenizer:
@@ -111,9 +146,7 @@ def make_tokenizer(driver: str, path: str | None = None) -> Tokenizer:
     if driver == "tiktoken" or driver.startswith("tiktoken:"):
         if not path:
             raise InvalidTokenizer("a vocabulary tokenizer needs a path")
-        if path not in _LOADED:
-            _LOADED[path] = VocabularyTokenizer(path)
-        return _LOADED[path]
+        return load_vocabulary(path, vocabulary(path))
     module, _, name = driver.rpartition(".")
     try:
         made = getattr(importlib.import_module(module), name)()

@@ -22,12 +22,12 @@ def query_norm(query: Sequence[float]) -> float:
 
 
 def cosine_distance(vector: Column, query: Sequence[float]) -> Column:
-    """1 - cosine to a fixed query; null for a null vector, another width, a null in it or norm 0 on either side."""
+    """1 - cosine to a fixed query; null for a null vector, another width, a null or NaN in it, or norm 0 or infinite on either side."""
     length = query_norm(query)
     literal = F.array(*[F.lit(float(x)) for x in query])
     own = norm(vector)
-    valid = vector.isNotNull() & (F.size(vector) == len(query)) & (own > 0)
-    return F.when(valid & F.lit(length > 0), 1 - dot(vector, literal) / (own * F.lit(length or 1.0)))
+    valid = vector.isNotNull() & (F.size(vector) == len(query)) & (own > 0) & ~F.isnan(own) & (own < float("inf"))
+    return F.when(valid & F.lit(0 < length < math.inf), 1 - dot(vector, literal) / (own * F.lit(length or 1.0)))
 
 
 def parse_vector(text: Column, dimensions: int) -> Column:

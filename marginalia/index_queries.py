@@ -204,8 +204,7 @@ def search_scoped(spark: SparkSession, d: str) -> DataFrame:
 def search_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The documents closest to the query by the stored chunks, unusable vectors among them."""
     rows = table(spark, d, "rag_chunks").where("id IS NOT NULL").select(F.col("document_id").alias("entity_id"), "chunk_index", "content_hash", "embedding")
-    finite = ~F.exists("embedding", lambda x: F.isnan(x))
-    return _rounded(searches.rank(rows.where(finite), QUERY, 20))
+    return _rounded(searches.rank(rows, QUERY, 20))
 
 
 def search_hydrated(spark: SparkSession, d: str) -> DataFrame:
@@ -214,10 +213,6 @@ def search_hydrated(spark: SparkSession, d: str) -> DataFrame:
     return searches.hydrated(ranked, table(spark, d, "nation").where("n_nationkey <> 3"), "n_nationkey").select("place", "entity_id", "n_name")
 
 
-def search_lsh(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(searches.rank(_vectors(spark, d), QUERY, 5, mode="lsh"))
-
-
 def _search_sql(table_sql: str, where: str, limit: int, columns: str = "entity_id, round(d, 6) AS distance, round(1 - d, 6) AS score, chunk_index") -> str:
     return f"""
 WITH v AS ({table_sql}),
@@ -523,7 +518,6 @@ QUERIES = {
         + _search_sql(_EMBEDDINGS_SQL, "true", 8)
         + ")) JOIN nation ON n_nationkey = entity_id WHERE n_nationkey <> 3",
     ),
-    "search_lsh": (search_lsh, None),
     "deps_desired": (deps_desired, DEPS_DESIRED),
     "fanout_pairs": (fanout_pairs, FANOUT_PAIRS),
     "fanout_batches": (fanout_batches, FANOUT_BATCHES),

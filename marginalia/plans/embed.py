@@ -93,7 +93,8 @@ def embedded(work: DataFrame, embedder: Embedder, config: EngineConfig, batch: i
                     vectors, error = [None] * len(part), f"{type(e).__name__}: {e}"
                 yield part[["entity_id", "chunk_index", "content_hash"]].assign(embedding=vectors, error=error)
 
-    return work.mapInPandas(run, "entity_id bigint, chunk_index int, content_hash string, embedding array<float>, error string")
+    kind = work.schema["entity_id"].dataType.simpleString()
+    return work.mapInPandas(run, f"entity_id {kind}, chunk_index int, content_hash string, embedding array<float>, error string")
 
 
 def with_vectors(chunks: DataFrame, vectors: DataFrame, embedder: Embedder, config: EngineConfig) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +57,18 @@ def batches(work: DataFrame, order: list[str], size: int = 500) -> DataFrame:
     return numbered.join(offsets, "__p").select(*work.columns, F.floor(place / size).cast("bigint").alias("batch_no"))
 
 
+def passing(times: np.ndarray, until: int | None, ttl: int) -> tuple[np.ndarray, int | None]:
+    """(places of the ascending times that pass, the time until which later ones are dropped): one jump for each that passes."""
+    places, at = [], 0 if until is None else int(np.searchsorted(times, until))
+    while at < len(times):
+        places.append(at)
+        until = int(times[at]) + ttl
+        at = int(np.searchsorted(times, until))
+    return np.array(places, np.int64), until
+
+
 class _Throttle:
-    """Streams rows sorted by key and time, remembering one accepted time; vectorised over runs of one key."""
+    """Streams rows sorted by key and time, remembering the time until which events of the open key are dropped."""
 
     def __init__(self, keys: list[str], ttl: int) -> None:
         self.keys, self.ttl = keys, ttl
@@ -65,17 +76,27 @@ class _Throttle:
     def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, until = None, None
         for frame in frames:
+            if frame.empty:
+                continue
+            times = frame["at"].to_numpy()
+            new = np.zeros(len(frame), bool)
+            for c in self.keys:
+                new |= (frame[c] != frame[c].shift()).to_numpy()
+            starts = np.unique(np.r_[0, np.flatnonzero(new)])
             keep = []
-            for i, (k, t) in enumerate(zip(zip(*[frame[c] for c in self.keys], strict=True), frame["at"], strict=True)):
-                if k != key or t >= until:
-                    key, until = k, t + self.ttl
-                    keep.append(i)
-            yield frame.iloc[keep]
+            for a, b in zip(starts, [*starts[1:], len(frame)], strict=True):
+                own = tuple(frame[c].iloc[a] for c in self.keys)
+                places, until = passing(times[a:b], until if own == key else None, self.ttl)
+                key = own
+                keep.append(places + a)
+            yield frame.iloc[np.concatenate(keep)]
 
 
-def throttle(events: DataFrame, keys: list[str], at: str, ttl_micros: int) -> DataFrame:
+def throttle(events: DataFrame, keys: list[str], at: str, ttl_micros: int, dropped_until: DataFrame | None = None) -> DataFrame:
     """(keys, at) of the events that pass a leading-edge throttle of each key.
 
+    dropped_until (keys, until): what an earlier call left; events of a key before its time are dropped.
+
     The first event passes; those before its time plus the ttl are dropped; the next one begins anew. at: a
     bigint in microseconds. Null keys or times are left out; repeated events pass once.
 
@@ -89,6 +110,9 @@ def throttle(events: DataFrame, keys: list[str], at: str, ttl_micros: int) -> Da
     for k in keys:
         present = present & F.col(k).isNotNull()
     rows = events.where(present).select(*keys, F.col(at).cast("bigint").alias("at")).distinct()
+    if dropped_until is not None:
+        held = dropped_until.groupBy(*keys).agg(F.max("until").alias("__until"))
+        rows = rows.join(held, keys, "left").where(F.col("__until").isNull() | (F.col("at") >= F.col("__until"))).drop("__until")
     # Blocks of many ttls; a block's first event starts a piece only if the ttl before it is empty in its own and the previous block.
     width = ttl_micros * 4096
     block = F.floor(F.col("at") / width)

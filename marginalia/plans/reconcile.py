@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 PENDING, SYNCED, FAILED = "pending", "synced", "failed"
 
-DOCUMENTS = "entity_id bigint, version int, content_hash string, configuration_hash string, status string, last_error string, synced_at timestamp, created_at timestamp, updated_at timestamp"
+#: Schemas of the index tables; {id} is the type of ids.
+
+DOCUMENTS = "entity_id {id}, version int, content_hash string, configuration_hash string, status string, last_error string, synced_at timestamp, created_at timestamp, updated_at timestamp"
 CHUNKS = (
-    "entity_id bigint, chunk_index int, content_hash string, embedding array<float>, embedding_provider string, embedding_model string, "
+    "entity_id {id}, chunk_index int, content_hash string, embedding array<float>, embedding_provider string, embedding_model string, "
     "embedding_dimensions int, embedding_hash string, metadata string, created_at timestamp, updated_at timestamp"
 )
-DEPENDENCIES = "entity_id bigint, dependency_type string, dependency_id bigint, created_at timestamp"
+DEPENDENCIES = "entity_id {id}, dependency_type string, dependency_id {id}, created_at timestamp"
 PROVENANCE = ("embedding", "embedding_provider", "embedding_model", "embedding_dimensions", "embedding_hash")
 
 

@@ -8,6 +8,7 @@ joins that put them together reuse that partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,17 @@ from marginalia.functions.canon import ITEM_SEPARATOR, canon
 from marginalia.functions.hashing import content_hash
 from marginalia.spec import DocumentSpec, Entity, EntityCatalog, Relation
 
+Keys = DataFrame | Sequence | None
+
+
+def only(df: DataFrame, column: str, keys: Keys) -> DataFrame:
+    """The rows of df whose column is one of the keys: a list (few; a filter that reaches the scan) or a table with entity_id."""
+    if keys is None:
+        return df
+    if isinstance(keys, DataFrame):
+        return df.join(keys.select(F.col("entity_id").alias(column)).distinct(), column, "left_semi")
+    return df.where(F.col(column).isin(list(keys)))
+
 
 def _leaf(entity: Entity, column: str, ordered: bool, strict: bool) -> DataFrame:
     """(k, v) of a column; a column that doesn't exist is null everywhere, or an error if strict."""
@@ -38,8 +50,8 @@ def _pairs(catalog: EntityCatalog, entity: Entity, edge: Relation) -> DataFrame:
     return rows.where(F.col(k).isNotNull() & F.col(t).isNotNull()).select(F.col(k).alias("k"), F.col(t).alias("t"), order.alias("o"))
 
 
-def resolve(catalog: EntityCatalog, name: str, path: str, ordered: bool = False, strict: bool = False) -> DataFrame:
-    """(k, v): the canonical text at a path for each key; null where anything on the way is null."""
+def resolve(catalog: EntityCatalog, name: str, path: str, ordered: bool = False, strict: bool = False, keys: Keys = None) -> DataFrame:
+    """(k, v): the canonical text at a path for each key, or those of ``keys``; null where anything on the way is null."""
     first, _, rest = path.partition(".")
     entity = catalog[name]
     if not rest:
@@ -47,7 +59,7 @@ def resolve(catalog: EntityCatalog, name: str, path: str, ordered: bool = False,
     edge = entity.relations[first]
     # The order of the outermost list is the one that can be kept; lists within it are always sorted.
     inner = resolve(catalog, edge.target, rest, ordered and edge.kind == "one", strict)
-    pairs = _pairs(catalog, entity, edge)
+    pairs = only(_pairs(catalog, entity, edge), "k", keys)
     if edge.kind == "one":
         return pairs.join(inner.withColumnRenamed("k", "t"), "t", "left").select("k", "v")
     items = pairs.join(inner.withColumnRenamed("k", "t"), "t").select("k", "o", F.coalesce("v", F.lit("")).alias("v"))
@@ -58,18 +70,16 @@ def resolve(catalog: EntityCatalog, name: str, path: str, ordered: bool = False,
     return items.groupBy("k").agg(F.array_join(listed, ITEM_SEPARATOR).alias("v"))
 
 
-def render(catalog: EntityCatalog, name: str, spec: DocumentSpec | None = None, strict: bool = False, keys: DataFrame | None = None) -> DataFrame:
+def render(catalog: EntityCatalog, name: str, spec: DocumentSpec | None = None, strict: bool = False, keys: Keys = None) -> DataFrame:
     """(entity_id, text): the document of each entity row, a line ``path: text`` for each path, content first.
 
-    keys: (entity_id), to render only those. Rows with a null key have no document. An invalid relation path
+    keys: (entity_id) or a list, to render only those. Rows with a null key have no document. An invalid relation path
     raises; a column that doesn't exist is empty unless strict.
     """
     entity = catalog[name]
     spec = spec or entity.spec
     catalog.validate_spec(name, spec)
-    rows = entity.rows.where(F.col(entity.key).isNotNull())
-    if keys is not None:
-        rows = rows.join(keys.select(F.col("entity_id").alias(entity.key)).distinct(), entity.key, "left_semi")
+    rows = only(entity.rows.where(F.col(entity.key).isNotNull()), entity.key, keys)
     own = {f.name: f.dataType for f in entity.rows.schema}
     out, lines = rows, []
     joined: list[tuple[str, DataFrame, str]] = []
@@ -83,7 +93,7 @@ def render(catalog: EntityCatalog, name: str, spec: DocumentSpec | None = None,
                 inner = resolve(catalog, edge.target, path.partition(".")[2], ordered, strict)
                 joined.append((edge.local, inner, f"__v{i}"))
             else:
-                joined.append((entity.key, resolve(catalog, name, path, ordered, strict), f"__v{i}"))
+                joined.append((entity.key, resolve(catalog, name, path, ordered, strict, keys), f"__v{i}"))
             text = F.coalesce(F.col(f"__v{i}"), F.lit(""))
         elif strict:
             raise ValueError(f"{name} has no column {path}")
@@ -97,12 +107,12 @@ def render(catalog: EntityCatalog, name: str, spec: DocumentSpec | None = None,
     return out.select(F.col(entity.key).alias("entity_id"), (F.concat_ws("\n", *lines) if lines else F.lit("")).alias("text"))
 
 
-def render_hashed(catalog: EntityCatalog, name: str, configuration: str, spec: DocumentSpec | None = None, keys: DataFrame | None = None) -> DataFrame:
+def render_hashed(catalog: EntityCatalog, name: str, configuration: str, spec: DocumentSpec | None = None, keys: Keys = None) -> DataFrame:
     """(entity_id, text, content_hash, configuration_hash) of each entity row."""
     return render(catalog, name, spec, keys=keys).select("entity_id", "text", content_hash(F.col("text")).alias("content_hash"), F.lit(configuration).alias("configuration_hash"))
 
 
-def dependencies(catalog: EntityCatalog, name: str, spec: DocumentSpec | None = None, keys: DataFrame | None = None, track_intermediate: bool = False) -> DataFrame:
+def dependencies(catalog: EntityCatalog, name: str, spec: DocumentSpec | None = None, keys: Keys = None, track_intermediate: bool = False, id_type: str = "bigint") -> DataFrame:
     """(entity_id, dependency_type, dependency_id), each once: the last related row of every relation path.
 
     track_intermediate: the rows on the way too. Related keys without a row are no dependency.
@@ -115,16 +125,16 @@ def dependencies(catalog: EntityCatalog, name: str, spec: DocumentSpec | None =
         at, reached = name, None
         for i, edge in enumerate(edges):
             step = _pairs(catalog, catalog[at], edge).select("k", "t")
+            if i == 0:
+                step = only(step, "k", keys)
             if i == 0 and edge.kind != "one":  # pairs may name rows that aren't there
                 step = step.join(entity.rows.select(F.col(entity.key).alias("k")), "k", "left_semi")
             reached = step if reached is None else reached.withColumnRenamed("t", "m").join(step.withColumnRenamed("k", "m"), "m").select("k", "t")
             at = edge.target
             if track_intermediate or i == len(edges) - 1:
                 there = catalog[at].rows.select(F.col(catalog[at].key).alias("t"))
-                found.append(reached.join(there, "t", "left_semi").select(F.col("k").alias("entity_id"), F.lit(at).alias("dependency_type"), F.col("t").cast("bigint").alias("dependency_id")))
+                found.append(reached.join(there, "t", "left_semi").select(F.col("k").alias("entity_id"), F.lit(at).alias("dependency_type"), F.col("t").cast(id_type).alias("dependency_id")))
     if not found:
-        return entity.rows.select(F.col(entity.key).alias("entity_id"), F.lit("").alias("dependency_type"), F.lit(0).cast("bigint").alias("dependency_id")).limit(0)
+        return entity.rows.select(F.col(entity.key).alias("entity_id"), F.lit("").alias("dependency_type"), F.lit(0).cast(id_type).alias("dependency_id")).limit(0)
     every = reduce(DataFrame.unionByName, found)
-    if keys is not None:
-        every = every.join(keys.select("entity_id").distinct(), "entity_id", "left_semi")
     return every.where(F.col("entity_id").isNotNull()).distinct()

@@ -24,14 +24,17 @@ def validated_limit(limit: int, min_similarity: float | None, max_limit: int) ->
 
 
 def scoped(chunks: DataFrame, scope: Scope) -> DataFrame:
-    """The chunks a scope admits; a Column is and-ed, a callable may only filter."""
+    """The chunks a scope admits; a Column is and-ed, a callable may only filter, which its plan must show: filters above the chunks and nothing else."""
     if scope is None:
         return chunks
     if isinstance(scope, Column):
         return chunks.where(scope)
     out = scope(chunks)
-    if out.columns != chunks.columns:
-        raise ValueError("a scope may only filter")
+    plan, given = out._jdf.queryExecution().analyzed(), chunks._jdf.queryExecution().analyzed()
+    while not plan.fastEquals(given):
+        if plan.nodeName() != "Filter":
+            raise ValueError("a scope may only filter")
+        plan = plan.children().head()
     return out
 
 
@@ -56,7 +59,7 @@ def _vectorised(chunks: DataFrame, query: Sequence[float], floor: float | None)
             own = np.sqrt(np.einsum("ij,ij->i", x, x))
             with np.errstate(invalid="ignore", divide="ignore"):
                 distance = 1 - (x @ q) / (own * length)
-            good = (own > 0) & (distance <= most)
+            good = (own > 0) & np.isfinite(own) & (distance <= most)
             right, distance = right[good], distance[good]
             ids, index = batch.column(0).to_numpy(zero_copy_only=False)[right], batch.column(1).to_numpy(zero_copy_only=False)[right]
             order = np.lexsort((index, distance, ids))
@@ -70,32 +73,11 @@ def _vectorised(chunks: DataFrame, query: Sequence[float], floor: float | None)
     return near.groupBy("entity_id").agg(best.alias("b")).select("entity_id", "b.distance", "b.chunk_index", F.col("b.content_hash").alias("chunk_hash"))
 
 
-def _candidates(chunks: DataFrame, query: Sequence[float], tables: int = 8, bucket: float = 0.6) -> DataFrame:
-    """Chunks that share a bucket of a random projection with the query: approximate, opt-in."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    size = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    unit = chunks.where((F.size("embedding") == len(query)) & (size > 0)).withColumn("__unit", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.sqrt(size))))
-    model = BucketedRandomProjectionLSH(inputCol="__unit", outputCol="__hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(unit)
-    length = query_norm(query)
-    asked = chunks.sparkSession.createDataFrame([(Vectors.dense([float(x) / length for x in query]),)], ["__unit"])
-    mine = [float(v[0]) for v in model.transform(asked).first()["__hashes"]]
-    from pyspark.ml.functions import vector_to_array
-
-    hit = F.lit(False)
-    hashed = model.transform(unit)
-    for i, h in enumerate(mine):
-        hit = hit | (F.abs(vector_to_array(F.col("__hashes")[i])[0] - h) <= 1)
-    return hashed.where(hit).drop("__unit", "__hashes")
-
-
 def rank(chunks: DataFrame, query: Sequence[float], limit: int = 10, min_similarity: float | None = None, scope: Scope = None, max_limit: int = 1000, mode: str = "exact") -> DataFrame:
     """(entity_id, distance, score, chunk_index, chunk_hash): the closest entities, ascending distance, ties by entity_id.
 
     chunks: entity_id, chunk_index, content_hash, embedding. An entity's distance is that of its closest chunk, of
-    equal ones the first. Chunks without a vector, of another width, with a null in it or of norm 0 are passed over;
+    equal ones the first. Chunks without a vector, of another width, with a null or NaN in it or of norm 0 are passed over;
     a query of norm 0 finds nothing. min_similarity is inclusive and holds for each chunk before the closest is taken.
     """
     limit = validated_limit(limit, min_similarity, max_limit)
@@ -103,8 +85,6 @@ def rank(chunks: DataFrame, query: Sequence[float], limit: int = 10, min_similar
     floor = None if min_similarity is None else 1 - min_similarity
     if query_norm(query) == 0:
         live = live.limit(0)
-    elif mode == "lsh":
-        live = _candidates(live, query)
     best = (_vectorised if mode == "vectorised" else _exact)(live, query, floor)
     return best.orderBy("distance", "entity_id").limit(limit).select("entity_id", "distance", (1 - F.col("distance")).alias("score"), "chunk_index", "chunk_hash")
 

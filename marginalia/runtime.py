@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,8 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have at most to be broadcast; checked by counting up to one more row.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes a side may have at most to be broadcast; both are measured, on one row more at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -39,7 +40,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster sets it.
 
-    Only where it is unset, as in tests on one machine, a folder of this machine is used.
+    Only where it is unset and the session runs in one process, as in tests, a folder of this machine is used;
+    on a cluster that has none an error is raised, since its executors would not find each other's files.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -48,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -63,9 +67,14 @@ def is_at_most(df: DataFrame, rows: int) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves that it is small, else df as it is (Spark then shuffles)."""
-    return F.broadcast(df) if is_at_most(df, rows) else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows and bytes, both measured, prove that it is small, else df as it is (Spark then shuffles)."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)) if f.dataType.typeName() in ("array", "map", "struct") else F.lit(0) for f in df.schema]
+    row = F.lit(16 + 16 * len(wide))
+    for w in wide:
+        row = row + w
+    measured = df.select(row.alias("w")).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("b")).first()
+    return F.broadcast(df) if measured.n <= rows and (measured.b or 0) <= size else df
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from marginalia.config import EngineConfig, canonical_json, check_chunking, configuration_hash, sha256
 from marginalia.functions.canon import canon
-from marginalia.functions.chunking import chunk_list, chunks, whitespace_chunks
+from marginalia.functions.chunking import check_chunking, chunk_list, chunks, whitespace_chunks
 from marginalia.functions.hashing import provenance_hash, vector_width
 from marginalia.functions.tokens import InvalidTokenizer, Tokenizer, WhitespaceTokenizer, make_tokenizer, trim_partial, whitespace_tokens
 from marginalia.functions.vectors import cosine_distance, parse_vector
@@ -128,6 +128,7 @@ def test_trim_partial():
         step = most - overlap
         for i in range(0, len(raw), step):
             assert trim_partial(raw[i : i + most]) in sample
+    assert trim_partial(b"a\xffb\x80c") == "a?b?c" and trim_partial(b"\x80\xbfa\xf0\x9f") == "a"  # faults within a slice are replaced
     assert trim_partial(b"") == "" and trim_partial("aé".encode()) == "aé"
 
 
@@ -140,3 +141,31 @@ def test_vectors(spark):
     assert [r[0] for r in names.orderBy("i").select(vector_width(F.col("s"))).collect()] == [1536, 768, None, None, None]
     js = spark.createDataFrame([(0, "[1, 2]"), (1, "[1]"), (2, "{}"), (3, None), (4, "x")], "i int, s string")
     assert [r[0] for r in js.orderBy("i").select(parse_vector(F.col("s"), 2)).collect()] == [[1.0, 2.0], None, None, None, None]
+
+
+def vocabulary_file(path, words):
+    import base64
+
+    tokens = [bytes([i]) for i in range(256)] + [w.encode() for w in words]
+    path.write_text("\n".join(f"{base64.b64encode(t).decode()} {i}" for i, t in enumerate(tokens)))
+    return str(path)
+
+
+def test_another_vocabulary_is_another_configuration(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    a, b, c = vocabulary_file(tmp_path / "v.tiktoken", ["ab"]), vocabulary_file(tmp_path / "x" / "v.tiktoken", ["ac"]), vocabulary_file(tmp_path / "x" / "w.tiktoken", ["ab"])
+    hashes = [configuration_hash(SPEC, EngineConfig(tokenizer="tiktoken", tokenizer_path=p)) for p in (a, b, c, a)]
+    assert len(set(hashes)) == 3 and hashes[0] == hashes[3]
+    df = spark.createDataFrame([(1, "abac"), (2, None), (3, "")], "k bigint, t string")
+    cut = lambda p: [(r.k, r.text) for r in chunks(df, ["k"], "t", EngineConfig(max_tokens=1, overlap=0, tokenizer="tiktoken", tokenizer_path=p)).orderBy("chunk_index").collect()]
+    assert cut(a) == [(1, "ab"), (1, "a"), (1, "c")] and cut(b) == [(1, "a"), (1, "b"), (1, "ac")]
+    vocabulary_file(tmp_path / "v.tiktoken", ["ac"])  # the same path, another content: loaded anew
+    assert cut(a) == cut(b) and configuration_hash(SPEC, EngineConfig(tokenizer="tiktoken", tokenizer_path=a)) == hashes[1]
+
+
+def test_broadcasts_are_measured(spark):
+    from marginalia.runtime import broadcast_if_small
+
+    hinted = lambda df, **most: "ResolvedHint" in broadcast_if_small(df, **most)._jdf.queryExecution().analyzed().toString()
+    df = spark.range(50).selectExpr("id", "repeat('x', 1000) AS t", "array(id) AS a")
+    assert hinted(df) and not hinted(df, rows=49) and hinted(df, rows=50) and not hinted(df, size=50_000) and hinted(df.limit(0))

@@ -1,11 +1,13 @@
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from marginalia.config import EngineConfig
-from marginalia.index import Index
+from marginalia import commands
+from marginalia.index import Index, UnsupportedBackend
 from marginalia.plans import embed as embeds
 from marginalia.plans import reconcile
 from marginalia.plans import search as searches
@@ -105,11 +107,209 @@ def test_rank_geometry(spark, mode):
         searches.rank(df, q, scope=lambda x: x.select("entity_id"))
 
 
-def test_lsh_finds_the_closest(spark):
-    rows = [(i, 0, "h", [float((i * k) % 7 - 3) for k in range(1, 9)]) for i in range(1, 60)]
+@pytest.mark.parametrize("mode", ["exact", "vectorised"])
+def test_unusable_vectors_are_passed_over(spark, mode):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0, "h", [1.0, 1.0]), (2, 0, "h", [nan, 1.0]), (3, 0, "h", [inf, 1.0]), (4, 0, "h", [None, 1.0])]
     df = spark.createDataFrame(rows, "entity_id bigint, chunk_index int, content_hash string, embedding array<float>")
-    q = rows[4][3]
-    assert searches.rank(df, q, 1, mode="lsh").first().entity_id == searches.rank(df, q, 1).first().entity_id
+    assert [(r.entity_id, round(r.distance, 6)) for r in searches.rank(df, [1.0, 1.0], mode=mode).collect()] == [(1, 0.0)]
+    assert searches.rank(df, [nan, 1.0], mode=mode).count() == 0
+
+
+def test_a_scope_may_only_filter(spark):
+    df = spark.createDataFrame([(1, 0, "h", [1.0]), (2, 0, "h", [1.0])], "entity_id bigint, chunk_index int, content_hash string, embedding array<float>")
+    few = lambda scope: [r.entity_id for r in searches.rank(df, [1.0], scope=scope).collect()]
+    assert few(lambda c: c.where("entity_id > 1").where(F.col("chunk_index") == 0)) == [2] and few(lambda c: c) == [1, 2]
+    for bad in (lambda c: c.limit(1), lambda c: c.union(c), lambda c: c.distinct(), lambda c: c.orderBy("entity_id"), lambda c: c.sample(0.5), lambda c: c.withColumn("chunk_index", F.lit(1)), lambda c: df.where("true")):
+        with pytest.raises(ValueError):
+            few(bad)
+
+
+class Spread:
+    """Vectors all over the place."""
+
+    provider = "spread"
+
+    def embed(self, texts, model, dimensions):
+        return [np.random.default_rng(int(t.split()[1])).standard_normal(dimensions).tolist() for t in texts]
+
+
+def numbered(spark, n, changed=()):
+    c = EntityCatalog()
+    c.register("item", spark.range(n).selectExpr("id", f"CAST(CASE WHEN id IN ({','.join(map(str, changed)) or '-1'}) THEN id + 100000 ELSE id END AS string) AS name"), spec=DocumentSpec(("name",)))
+    return c
+
+
+def test_vector_index(spark, tmp_path):
+    ix = Index(spark, str(tmp_path), numbered(spark, 600), EngineConfig(dimensions=16, search_mode="ann", buckets=8), Spread())
+    ix.sync("item", embed=True)
+    with pytest.raises(UnsupportedBackend):
+        ix.rank("item", [1.0] * 16)
+    assert {c: level for c, level, _ in ix.doctor()}["vector index of item"] == "WARN"
+    assert ix.build_vector_index("item") == 24 and ix.vector_index("item") == (24, 0, 8)
+    assert {c: level for c, level, _ in ix.doctor()}["vector index of item"] == "OK"
+    exact = Index(spark, str(tmp_path), numbered(spark, 600), EngineConfig(dimensions=16), Spread())
+    hits = 0
+    for i in range(0, 600, 100):
+        q = np.random.default_rng(i + 7).standard_normal(16).tolist()
+        hits += len({r.entity_id for r in ix.rank("item", q).collect()} & {r.entity_id for r in exact.rank("item", q).collect()})
+        assert [tuple(r) for r in ix.rank("item", q, probes=24).collect()] == [tuple(r) for r in exact.rank("item", q).collect()]
+    assert hits >= 0.8 * 60
+    changed = Index(spark, str(tmp_path), numbered(spark, 601, [5]), EngineConfig(dimensions=16, search_mode="ann"), Spread())
+    changed.sync("item", [5, 600], embed=True)
+    assert 1 <= changed.vector_index("item")[1] <= 2
+    for n in (100_005, 600):  # what changed and what came is found, without a rebuild
+        assert changed.rank("item", np.random.default_rng(n).standard_normal(16).tolist(), 1, probes=1).first().entity_id == n % 100_000
+    old = changed.rank("item", np.random.default_rng(5).standard_normal(16).tolist(), 1, probes=24).first()
+    assert old.entity_id != 5 or old.distance > 0.01  # what was there before is not
+    changed.forget("item", [600])
+    assert changed.rank("item", np.random.default_rng(600).standard_normal(16).tolist(), 5, probes=24).where("entity_id = 600").count() == 0
+    assert Index(spark, str(tmp_path / "no"), numbered(spark, 3), EngineConfig(dimensions=16)).build_vector_index("item") == 0
+
+
+def failing(spark, bad=(1,), names=("Speaker", "Laptop")):
+    c = catalog(spark, names)
+    rows = c["product"].rows.withColumn("name", F.when(F.col("id").isin(list(bad)), F.raise_error(F.lit("broken row")).cast("string")).otherwise(F.col("name")))
+    c.register("product", rows, relations=c["product"].relations, spec=c["product"].spec)
+    return c
+
+
+def test_failures_stay_with_their_documents(spark, tmp_path):
+    ix = index(spark, tmp_path)
+    ix.sync("product")
+    broken = index(spark, tmp_path, failing(spark, names=("Speaker", "Tablet")))
+    events = []
+    broken.listeners.append(lambda e: events.append(e.kind))
+    assert broken.sync("product", [1, 2, 99])["product"] == {"synced": 1, "skipped": 0, "failed": 1}
+    now = statuses(broken)
+    assert now[1][0] == "failed" and "broken row" in now[1][2] and now[2] == ("pending", 1, None) and set(events) == {"synced", "sync_failed"}
+    both = index(spark, tmp_path, failing(spark, (1, 2)))
+    assert both.sync("product")["product"] == {"synced": 0, "skipped": 0, "failed": 2} and {s for s, _, _ in statuses(both).values()} == {"failed"}
+    fresh = index(spark, tmp_path / "fresh", failing(spark))
+    assert fresh.sync("product")["product"]["failed"] == 1 and set(statuses(fresh)) == {2}  # no document to hold the message
+
+
+class Picky:
+    def encode(self, text):
+        if "Speaker" in text:
+            raise RuntimeError("can't cut this")
+        return text.split()
+
+    def decode(self, tokens):
+        return " ".join(tokens)
+
+    def identifier(self):
+        return "picky"
+
+
+def test_a_tokenizer_fails_for_its_text_only(spark, tmp_path, monkeypatch):
+    from marginalia.functions import chunking
+
+    ix = index(spark, tmp_path)
+    ix.sync("product")
+    monkeypatch.setattr(chunking, "make_tokenizer", lambda *_: Picky())
+    monkeypatch.setattr("marginalia.functions.tokens.make_tokenizer", lambda *_: Picky())
+    other = index(spark, tmp_path, tokenizer="x.Picky")
+    assert other.sync("product")["product"] == {"synced": 1, "skipped": 0, "failed": 1}
+    assert statuses(other)[1][0] == "failed" and "can't cut this" in statuses(other)[1][2] and statuses(other)[2][0] == "pending"
+
+
+class Counted(Keywords):
+    def __init__(self, folder):
+        self.folder = folder
+
+    def embed(self, texts, model, dimensions):
+        import uuid
+
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(texts)))
+        return super().embed(texts, model, dimensions)
+
+
+def test_only_rewritten_documents_are_embedded(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    ix = index(spark, tmp_path / "ix", catalog(spark, ("a", "b", "c", "d")), Counted(str(calls)), auto_embed=True, auto_batch_size=2)
+    ix.sync("product", [1], embed=False)
+    ix.sync("product", [2, 3, 4])
+    sizes = [int(f.read_text()) for f in calls.iterdir()]
+    assert sum(sizes) == 3 and max(sizes) <= 2
+    assert {i: s for i, (s, _, _) in statuses(ix).items()} == {1: "pending", 2: "synced", 3: "synced", 4: "synced"}
+    ix.sync("product", [2, 3, 4])
+    assert len(list(calls.iterdir())) == len(sizes)  # nothing rewritten, nothing asked
+
+
+def test_one_document_costs_one_bucket(spark, tmp_path):
+    ix = Index(spark, str(tmp_path), numbered(spark, 200), EngineConfig(buckets=16))
+    ix.sync("item")
+    before = dict(ix.store.manifest())
+    changed = Index(spark, str(tmp_path), numbered(spark, 200, [7]), EngineConfig(buckets=3))  # the index keeps its own number of buckets
+    assert changed.sync("item", [7])["item"] == {"synced": 1, "skipped": 0, "failed": 0}
+    after = changed.store.manifest()
+    assert sorted(k.split("@")[0] for k in after if after[k] != before.get(k)) == ["chunks", "documents"]  # without relations no dependencies
+    assert changed.table("documents").count() == 200 and changed.document("item", 7).count() == 1
+    assert changed.forget("item", [7, 7, 999]) == 1 and changed.table("documents").count() == 199
+    changed.store.vacuum(keep=1)
+    assert changed.table("chunks").count() == 199
+
+
+def test_lost_races_begin_anew(spark, tmp_path, monkeypatch):
+    ix, rival = index(spark, tmp_path), index(spark, tmp_path)
+    ix.sync("product", [1])
+    real, races = SnapshotStore.commit, []
+
+    def commit(self, *args, **kwargs):
+        if self is ix.store and len(races) < 2:
+            races.append(1)
+            rival.sync("product", force=True)
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(SnapshotStore, "commit", commit)
+    assert ix.forget("product", [1]) == 1 and len(races) == 2
+    assert set(statuses(ix)) == {2}
+    assert not [s for s, _, _ in statuses(ix).values() if s == "failed"]
+
+
+def test_text_ids(spark, tmp_path):
+    c = EntityCatalog()
+    c.register("tag", spark.createDataFrame([("t1", "Red")], "id string, name string"))
+    c.register("page", spark.createDataFrame([("a-1", "Speaker", "t1"), ("b", "Laptop", None)], "id string, name string, tag string"), relations={"tag": Relation("one", "tag", local="tag")}, spec=DocumentSpec(("name",), ("tag.name",)))
+    ix = index(spark, tmp_path, c, id_type="string")
+    assert ix.sync("page", ["a-1", "b", "zz"], embed=True)["page"]["synced"] == 2
+    assert [r.entity_id for r in ix.search("page", "a laptop").collect()] == ["b", "a-1"]
+    assert {tuple(r) for r in ix.affected("tag", "t1").collect()} == {("page", "a-1")}
+    assert ix.verify("page")["ok"] and ix.forget("page", ["b"]) == 1
+    numbers = index(spark, tmp_path / "n")
+    numbers.sync("product", ["1"])
+    assert numbers.key("1") == 1 and ix.key(1) == "1" and numbers.document("product", "1").count() == 1
+
+
+def made_for_commands(spark):
+    return catalog(spark), EngineConfig(dimensions=3), Keywords()
+
+
+def test_commands(spark, tmp_path):
+    told = []
+
+    def command(*words):
+        told.clear()
+        return commands.main(["--root", str(tmp_path), "--catalog", f"{__name__}:made_for_commands", *words], spark, told.append)
+
+    assert command("sync") == 0 and told == ["nothing to do"]
+    assert command("sync", "product") == 0 and told == ["product: synced 2, skipped 0, failed 0", "product: embedded 2, failed 0"]
+    assert command("status") == 0 and "documents: 2" in told
+    assert command("sync", "product", "--id", "1") == 0 and "product: synced 0, skipped 1, failed 0" in told
+    assert command("sync", "--dependency", "category:1") == 0 and "product: synced 0, skipped 2, failed 0" in told
+    assert command("rebuild") == 0 and "product: synced 2, skipped 0, failed 0" in told
+    assert command("dependencies", "product", "1") == 0 and told == ["category 1"]
+    assert command("dependencies", "product", "9") == 1 and command("forget", "product", "9") == 1
+    assert command("index", "product") == 0 and told == ["product: 1 cells"]
+    assert command("doctor") == 0 and command("verify", "product") == 0 and told[-1] == "checked 2, drifted 0, fixed 0, orphaned 0"
+    assert command("forget", "product", "2") == 0 and command("verify", "product") == 1 and told[0] == "product 2: missing"
+    assert command("verify", "product", "--fix") == 0 and command("prune") == 0 and told == ["product: 0 pruned"]
+    for bad in (("sync", "--id", "1"), ("sync", "product", "--dependency", "category:1"), ("sync", "--dependency", "category:")):
+        with pytest.raises(ValueError):
+            command(*bad)
 
 
 class Broken(Keywords):
@@ -179,8 +379,9 @@ def test_invalidate_and_operations(spark, tmp_path):
         renamed.dependencies_of("product", 99)
     levels = {check: level for check, level, _ in renamed.doctor()}
     assert levels["dimensions"] == "OK" and levels["pending documents"] == "WARN" and levels["failed documents"] == "OK"
+    assert levels["capabilities"] == "OK" and levels["vector index of product"] == "WARN"
     wrong = {check: level for check, level, _ in index(spark, tmp_path, dimensions=4).doctor()}
-    assert wrong["dimensions"] == "OK" or wrong["dimensions"] == "FAIL"
+    assert wrong["dimensions"] == "FAIL"  # the width declared when the index began
     assert renamed.forget("product", [1, 99]) == 1 and renamed.forget("product", [1]) == 0
     assert renamed.table("chunks").select("entity_id").distinct().count() == 1
     empty = index(spark, tmp_path / "empty")
@@ -198,7 +399,7 @@ def test_invalid_spec_fails_its_type_only(spark, tmp_path):
 
 def test_repeated_keys_and_shrinking_chunks(spark):
     desired = spark.createDataFrame([(1, "a", "g"), (1, "a", "g")], "entity_id bigint, content_hash string, configuration_hash string")
-    stored = spark.createDataFrame([], reconcile.DOCUMENTS)
+    stored = spark.createDataFrame([], reconcile.DOCUMENTS.format(id="bigint"))
     assert reconcile.actions(desired, stored).count() == 1 and reconcile.new_documents(desired, stored).count() == 1
     assert reconcile.new_documents(desired.limit(0), stored).count() == 0
     chunks = spark.createDataFrame([(1, i, f"h{i}") for i in range(3)] + [(2, 0, "x")], "entity_id bigint, chunk_index int, content_hash string")
@@ -275,9 +476,12 @@ def test_recording_double(spark):
     fake.assert_embedded("product")
     fake.assert_not_embedded("category")
     fake.assert_forgotten("product", 2)
-    fake.assert_searched("product", lambda q: q == "x")
+    fake.assert_searched("product", lambda q, limit, least: q == "x" and limit == 2 and least is None)
+    fake.assert_not_embedded("product", 5)
     fake.assert_invalidated("category", 1)
-    assert {r.entity_id for r in fake.rendered_for("product").collect()} == {1, 2}
+    assert fake.rendered_for("product", 1) == "name: Speaker\ncategory.name: Electronics" and fake.rendered_for("product", 2) is None
+    fake.catalog = catalog(spark, ("Other",))
+    assert fake.rendered_for("product", 1).startswith("name: Speaker") and fake.render("product", 1).startswith("name: Other") and fake.render("product", 5) is None
     with pytest.raises(AssertionError):
         fake.assert_synced("category")
     with pytest.raises(ValueError):

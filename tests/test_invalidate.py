@@ -98,6 +98,29 @@ def test_feed_syncs_forgets_and_fans_out(spark, tmp_path):
     assert set(after) == {1} and after[1] != before[1]
 
 
+def test_feed_throttles_over_batches(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    schema = "entity_type string, entity_id bigint, op string, at timestamp"
+    ix = Index(spark, str(tmp_path), stream_catalog(spark, [(1, "a"), (2, "b")], "c0"), EngineConfig(debounce_seconds=10))
+    ix.sync("product")
+    seen = []
+    for n, seconds in enumerate([(0, 3), (9, 10), (12, 15), (19.5,), (21,)]):
+        ix = Index(spark, str(tmp_path), stream_catalog(spark, [(1, "a"), (2, "b")], f"c{n + 1}"), EngineConfig(debounce_seconds=10))
+        synced = []
+        ix.listeners.append(lambda e, out=synced: out.append(e.detail.get("count")))
+        feed.process(ix, spark.createDataFrame([("category", 1, "updated", start + timedelta(seconds=s)) for s in seconds] + [(None, 1, "updated", start), ("category", None, "updated", start)], schema))
+        seen.append(synced)
+    # 0 passes, 3 and 9 fall to it, 10 passes, 12 to 19.5 fall to that, 21 passes.
+    assert seen == [[2], [2], [], [], [2]]
+    assert [r.until for r in ix.store.read(spark, "throttle").collect()] == [int((start - datetime(1970, 1, 1)).total_seconds() + 31) * 1_000_000]
+
+
+def test_throttle_goes_on_from_what_was_left(spark):
+    df = spark.createDataFrame([("a", 5), ("a", 12), ("a", 15), ("b", 1), ("b", None), (None, 2)], "k string, us bigint")
+    left = spark.createDataFrame([("a", 11), ("a", 3), ("z", 99)], "k string, until bigint")
+    assert {tuple(r) for r in invalidate.throttle(df, ["k"], "us", 10, left).collect()} == {("a", 12), ("b", 1)}
+
+
 def test_stream_throttle_over_batches(spark, tmp_path):
     start = datetime(2024, 1, 1)
     schema = "k bigint, ts timestamp"
