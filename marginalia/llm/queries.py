@@ -24,13 +24,31 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every piece ends at the latest natural boundary in reach: the program with discount 0."""
-    return splitting.split(table(spark, d, "rag_sources"), discount=0.0).select("document_id", "chunk_index", "content_hash")
+    """Pieces compared from the front: every piece ends at the latest natural boundary in reach."""
+    return splitting.split(table(spark, d, "rag_sources"), order=splitting.FIRST).select("document_id", "chunk_index", "content_hash")
 
 
 def p6_balanced(spark: SparkSession, d: str) -> DataFrame:
     """The cuts of least total cost over each text."""
-    return splitting.split(table(spark, d, "rag_sources"), discount=1.0)
+    return splitting.split(table(spark, d, "rag_sources"), order=splitting.TOTAL)
+
+
+_BLANK = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_CLOSING = """"')\\]”’""".replace("'", "''")
+#: Tokens with the white space behind each, boundaries as numbers of tokens before them, then piece by piece.
+P6_FOUND_SQL = f"""
+WITH RECURSIVE sources AS (SELECT DISTINCT document_id, content, max_tokens AS most, overlap_tokens AS lap FROM rag_sources WHERE content IS NOT NULL),
+split AS (SELECT *, regexp_extract_all(content, '[^{_BLANK}]+') AS tok, regexp_extract_all(content, '[^{_BLANK}]+([{_BLANK}]*)', 1) AS gap FROM sources),
+long AS (
+  SELECT document_id, most, lap, tok, len(tok) AS n, list_filter(range(1, len(tok)), lambda i:
+    regexp_matches(tok[i], '[.!?。][{_CLOSING}]*$') OR length(gap[i]) - length(replace(gap[i], chr(10), '')) >= 2) AS cuts
+  FROM split WHERE len(tok) > most),
+pieces AS (
+  SELECT document_id, 0 AS k, CAST(0 AS BIGINT) AS a, coalesce(list_max(list_filter(cuts, lambda c: c > lap AND c <= most)), most) AS b FROM long
+  UNION ALL
+  SELECT p.document_id, k + 1, b - lap, CASE WHEN n - (b - lap) <= most THEN n ELSE coalesce(list_max(list_filter(cuts, lambda c: c > b AND c <= b - lap + most)), b - lap + most) END
+  FROM pieces p JOIN long l ON l.document_id = p.document_id WHERE b < n)
+SELECT document_id, CAST(k AS INTEGER) AS chunk_index, sha256(array_to_string(tok[a + 1 : b], ' ')) AS content_hash FROM pieces JOIN long USING (document_id)"""
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +75,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": (p1_found, None),
     "p1_neighbours": (p1_neighbours, None),
-    "p6_found": (p6_found, None),
+    "p6_found": (p6_found, P6_FOUND_SQL),
     "p6_balanced": (p6_balanced, None),
     "p7_ids": (p7_ids, None),
     "p8_found": (p8_found, None),

@@ -1,18 +1,19 @@
 """Cutting of oversized texts at natural boundaries, by dynamic programming over boundary positions.
 
-A state is a token at which a piece starts. From it lead the natural boundaries within reach, or the cut at
-the limit if there is none. A cut costs a penalty (none at a natural boundary) plus its imbalance (how far
-the piece falls short of the limit); the value of a state is the least of cost plus ``discount`` times the
-value of the state that follows. With discount 1 the whole text's cost is least; with discount 0 each
-piece weighs infinitely more than all later ones, that is, every piece ends at the latest boundary in reach.
+A state is a token at which a piece starts. From it lead cuts after any token within reach: more than ``overlap`` and at most
+``max_tokens`` tokens on. A cut costs a penalty (none at a natural boundary) plus its imbalance, the squared share by which the
+piece falls short of the limit; the last piece, which takes all that is left, costs its imbalance too. A state's value is the cost
+of its best cut plus the value of the state that this leads to. The table of all states is filled from the end of the text.
+
+Costs are added up in one of two orders. TOTAL: the sum over all pieces is least. FIRST: pieces are compared one after the
+other from the front, the first difference decides. The cuts of one state all cost something else there, so the cheapest
+cut of each state is the best, whatever follows: the latest natural boundary in reach, or the limit if there is none.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,9 @@ SENTENCE_END = re.compile(r"""[.!?。]["')\]”’]*\Z""")
 _TOKEN = re.compile(f"[^{WHITE_SPACE}]+")
 #: What a cut off any natural boundary costs; more than any imbalance, which is below 1.
 CUT_PENALTY = 2.0
+TOTAL, FIRST = "total", "first"
+#: Windows of cuts that are compared at a time.
+_ROWS = 1 << 20
 
 
 def tokens_and_boundaries(text: str) -> tuple[list[str], list[int]]:
@@ -42,53 +46,60 @@ def tokens_and_boundaries(text: str) -> tuple[list[str], list[int]]:
     return tokens, boundaries
 
 
-def pieces(n: int, boundaries: list[int], max_tokens: int, overlap: int, discount: float = 1.0) -> list[tuple[int, int]]:
+def table(n: int, boundaries: list[int], max_tokens: int, overlap: int, order: str = TOTAL) -> tuple[np.ndarray, np.ndarray]:
+    """(end, value) of every state 0 ... n - 1: where its piece ends in the best division of what is left, and what that costs.
+
+    Of equal costs the later end wins.
+    """
+    width = max_tokens - overlap  # cuts of a state, the latest first: after max_tokens, ..., overlap + 1 tokens
+    penalty = np.full(n + 1, CUT_PENALTY)
+    penalty[list(boundaries)] = 0.0
+    short = np.arange(width) / max_tokens
+    imbalance = short * short
+    end, value = np.full(n, n, np.int64), np.zeros(n)
+    inner = max(0, n - max_tokens)  # states from there on are the last piece's
+    rest = (max_tokens - (n - np.arange(inner, n))) / max_tokens
+    value[inner:] = rest * rest
+    if not inner:
+        return end, value
+    windows = np.lib.stride_tricks.sliding_window_view(penalty, width)[overlap + 1 : overlap + 1 + inner, ::-1]
+    if order == FIRST:
+        cost = np.zeros(inner)
+        step = max(1, _ROWS // width)
+        for a in range(0, inner, step):
+            costs = windows[a : a + step] + imbalance
+            best = costs.argmin(axis=1)
+            end[a : a + len(best)] = np.arange(a, a + len(best)) + max_tokens - best
+            cost[a : a + len(best)] = costs[np.arange(len(best)), best]
+        for s in range(inner - 1, -1, -1):
+            value[s] = cost[s] + value[end[s] - overlap]
+    else:
+        for s in range(inner - 1, -1, -1):
+            costs = windows[s] + imbalance + value[s + 1 : s + 1 + width][::-1]
+            best = int(costs.argmin())
+            end[s], value[s] = s + max_tokens - best, costs[best]
+    return end, value
+
+
+def pieces(n: int, boundaries: list[int], max_tokens: int, overlap: int, order: str = TOTAL) -> list[tuple[int, int]]:
     """[start, end) of each piece over n tokens: ends beyond start + overlap, at most max_tokens tokens a piece.
 
     Consecutive pieces share exactly ``overlap`` tokens. At most max_tokens tokens left are the last piece.
-    No token: no piece. Of equal costs the later end wins.
+    No token: no piece.
     """
     if not (max_tokens >= 1 and 0 <= overlap < max_tokens):
         raise ValueError("need max_tokens >= 1 and 0 <= overlap < max_tokens")
+    if order not in (TOTAL, FIRST):
+        raise ValueError("order must be total or first")
     if n <= 0:
         return []
-
-    def choices(start: int) -> list[tuple[float, int]]:
-        low, high = bisect_right(boundaries, start + overlap), bisect_right(boundaries, start + max_tokens)
-        if low == high:
-            return [(CUT_PENALTY, start + max_tokens)]
-        short = [(start + max_tokens - e) / max_tokens for e in boundaries[low:high]]
-        return [(s * s, e) for s, e in zip(short, boundaries[low:high], strict=True)]
-
-    best: dict[int, int] = {}
-    if discount == 0:  # later pieces weigh nothing: only the state that follows the cheapest cut matters
-        start = 0
-        while n - start > max_tokens:
-            best[start] = min(choices(start), key=lambda c: (c[0], -c[1]))[1]
-            start = best[start] - overlap
-    else:
-        reached, heap, order, edges = {0}, [0], [], {}
-        while heap:
-            start = heapq.heappop(heap)
-            order.append(start)
-            if n - start > max_tokens:
-                edges[start] = choices(start)
-                for _, end in edges[start]:
-                    if end - overlap not in reached:
-                        reached.add(end - overlap)
-                        heapq.heappush(heap, end - overlap)
-        value: dict[int, float] = {}
-        for start in reversed(order):
-            if start not in edges:
-                value[start] = 0.0
-                continue
-            value[start], negative = min((cost + discount * value[end - overlap], -end) for cost, end in edges[start])
-            best[start] = -negative
+    ends, _ = table(n, boundaries, max_tokens, overlap, order)
     out, start = [], 0
-    while start in best:
-        out.append((start, best[start]))
-        start = best[start] - overlap
-    return [*out, (start, n)]
+    while True:
+        out.append((start, int(ends[start])))
+        if out[-1][1] == n:
+            return out
+        start = out[-1][1] - overlap
 
 
 def content_hash(tokens: list[str]) -> str:
@@ -96,8 +107,8 @@ def content_hash(tokens: list[str]) -> str:
 
 
 class _Split:
-    def __init__(self, discount: float, id_column: str, oversized_only: bool) -> None:
-        self.discount, self.id_column, self.oversized_only = discount, id_column, oversized_only
+    def __init__(self, order: str, id_column: str, oversized_only: bool) -> None:
+        self.order, self.id_column, self.oversized_only = order, id_column, oversized_only
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +119,7 @@ class _Split:
                 tokens, boundaries = tokens_and_boundaries(text)
                 if self.oversized_only and len(tokens) <= most:
                     continue
-                for k, (start, end) in enumerate(pieces(len(tokens), boundaries, most, overlap, self.discount)):
+                for k, (start, end) in enumerate(pieces(len(tokens), boundaries, most, overlap, self.order)):
                     for column, value in zip(out, (key, k, start, end, content_hash(tokens[start:end])), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -118,7 +129,7 @@ class _Split:
 
 
 def split(
-    items: DataFrame, id_column: str = "document_id", text_column: str = "content", max_column: str = "max_tokens", overlap_column: str = "overlap_tokens", discount: float = 1.0, oversized_only: bool = True
+    items: DataFrame, id_column: str = "document_id", text_column: str = "content", max_column: str = "max_tokens", overlap_column: str = "overlap_tokens", order: str = TOTAL, oversized_only: bool = True
 ) -> DataFrame:
     """(id, chunk_index int, start_token, end_token, content_hash): the pieces of each item.
 
@@ -128,6 +139,6 @@ def split(
     """
     kind = items.schema[id_column].dataType.simpleString()
     cut = items.select(id_column, text_column, max_column, overlap_column).mapInArrow(
-        _Split(discount, id_column, oversized_only), f"`{id_column}` {kind}, chunk_index int, start_token bigint, end_token bigint, content_hash string"
+        _Split(order, id_column, oversized_only), f"`{id_column}` {kind}, chunk_index int, start_token bigint, end_token bigint, content_hash string"
     )
     return cut.distinct()

@@ -19,22 +19,21 @@ def greedy(n, boundaries, most, overlap):
 
 
 def least_cost(n, boundaries, most, overlap):
+    """By trying every cut after every token."""
     best = {}
 
     def value(start):
         if n - start <= most:
-            return 0.0
+            return ((most - (n - start)) / most) ** 2
         if start not in best:
-            ends = [e for e in boundaries if start + overlap < e <= start + most]
-            cost = [((start + most - e) / most) ** 2 + value(e - overlap) for e in ends] or [splitting.CUT_PENALTY + value(start + most - overlap)]
-            best[start] = min(cost)
+            best[start] = min(((start + most - e) / most) ** 2 + (0 if e in boundaries else splitting.CUT_PENALTY) + value(e - overlap) for e in range(start + overlap + 1, start + most + 1))
         return best[start]
 
     return value(0)
 
 
-def cost_of(pieces, boundaries, most):
-    return sum(((s + most - e) / most) ** 2 if e in boundaries else splitting.CUT_PENALTY for s, e in pieces[:-1])
+def cost_of(pieces, boundaries, most, n):
+    return sum(((s + most - e) / most) ** 2 + (0 if e == n or e in boundaries else splitting.CUT_PENALTY) for s, e in pieces)
 
 
 def test_against_brute_force():
@@ -43,15 +42,32 @@ def test_against_brute_force():
         n, most = rng.randrange(60), rng.randrange(1, 12)
         overlap = rng.randrange(most)
         boundaries = sorted(rng.sample(range(1, n), rng.randrange(n // 2 + 1))) if n > 2 else []
-        assert splitting.pieces(n, boundaries, most, overlap, 0.0) == greedy(n, boundaries, most, overlap)
-        got = splitting.pieces(n, boundaries, most, overlap, 1.0)
+        assert splitting.pieces(n, boundaries, most, overlap, splitting.FIRST) == greedy(n, boundaries, most, overlap)
+        got = splitting.pieces(n, boundaries, most, overlap)
         assert all(e - s <= most for s, e in got) and all(a[1] - overlap == b[0] for a, b in itertools.pairwise(got))
         if got:
             assert got[0][0] == 0 and got[-1][1] == n
-            assert cost_of(got, set(boundaries), most) == pytest.approx(least_cost(n, boundaries, most, overlap))
+            least = least_cost(n, set(boundaries), most, overlap)
+            assert cost_of(got, set(boundaries), most, n) == pytest.approx(least)
+            for order in (splitting.FIRST, splitting.TOTAL):
+                _, value = splitting.table(n, boundaries, most, overlap, order)
+                assert value[0] == pytest.approx(cost_of(splitting.pieces(n, boundaries, most, overlap, order), set(boundaries), most, n))
     for bad in ((4, 4), (0, 0), (4, -1)):
         with pytest.raises(ValueError):
             splitting.pieces(10, [], *bad)
+    with pytest.raises(ValueError):
+        splitting.pieces(10, [], 5, 1, "other")
+
+
+def test_the_last_piece_is_weighed():
+    assert splitting.pieces(21, [10, 19], 20, 0) == [(0, 10), (10, 21)]
+    assert splitting.pieces(21, [10, 19], 20, 0, splitting.FIRST) == [(0, 19), (19, 21)]
+
+
+def test_tables_larger_than_a_window_of_rows(monkeypatch):
+    want = splitting.pieces(3000, list(range(7, 3000, 31)), 40, 6, splitting.FIRST)
+    monkeypatch.setattr(splitting, "_ROWS", 100)
+    assert splitting.pieces(3000, list(range(7, 3000, 31)), 40, 6, splitting.FIRST) == want == greedy(3000, range(7, 3000, 31), 40, 6)
 
 
 def test_boundaries():
@@ -67,7 +83,7 @@ def test_dataframe(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     rows = [(1, "a b c. d e f", 4, 1), (1, "a b c. d e f", 4, 1), (2, None, 4, 1), (3, "", 4, 1), (4, " \n", 4, 1), (5, "a b", 4, 1), (6, long, 400, 40), (7, "a b c", None, 1), (8, "a b c", 1, None), (9, "a b c", 0, 0), (10, "a b c", 2, 2), (None, "a b c", 2, 0)]
     df = spark.createDataFrame(rows, "document_id bigint, content string, max_tokens int, overlap_tokens int").selectExpr("*", "1 AS chunk_index", "'x' AS content_hash")
-    got = splitting.split(df, discount=0.0).collect()
+    got = splitting.split(df, order=splitting.FIRST).collect()
     one = sorted((r.chunk_index, r.content_hash) for r in got if r.document_id == 1)
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert one == [(0, sha("a b c.")), (1, sha("c. d e f"))]
