@@ -5,8 +5,8 @@ Every run of ``window`` words of a test item is a needle. With a budget of e cha
 cut into e + 1 pieces of whole words that share no character; the blanks between them belong to none, and a
 piece may lie within longer words. So an edit breaks one piece at most, and any text within e edits of the
 needle holds at least one piece unchanged.
-All pieces of all items are sought at once by an Aho-Corasick automaton, and each hit is verified: equal
-words at its place are distance 0, all else goes through Myers' bit-parallel edit distance and is 1 at least.
+All pieces of all items are sought at once by an Aho-Corasick automaton. Each hit is verified by Myers' bit-parallel edit
+distance around its place; a distance of 0 stands only if the words there are whole words, else it is 1.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 #: Words of a needle, and the edits in it that still count.
 WINDOW, BUDGET = 12, 2
-#: Test items that are broadcast at a time; more go through in blocks.
-ITEMS_AT_ONCE = 20_000
+#: Characters of passages that one reading of the documents takes on (they are broadcast), and that one automaton holds.
+ITEM_CHARACTERS, BLOCK_CHARACTERS = 32 << 20, 400_000
+#: Automata a worker keeps, and characters of documents it gathers before it goes on to the next if there are several.
+HELD, GATHERED = 4, 32 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -57,58 +59,100 @@ def myers(pattern: str, text: str, most: int) -> int:
 
 
 class Needles:
-    """The needles of some items, and the automaton over their pieces."""
+    """The needles of some items, and the automaton over their pieces.
+
+    A needle is the number of its first word among all words of all passages; where words lie, and where a piece stands, is
+    kept in arrays. So a passage costs its words and the automaton's nodes for them, however many needles overlap.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW, budget: int = BUDGET) -> None:
         if window < budget + 1:
             raise ValueError("a window must have a word for each piece")
-        self.budget = budget
-        self.needles: list[tuple[int, str, list[tuple[int, str]]]] = []  # item, text, (place, word)s
-        ends = np.linspace(0, window, budget + 2).astype(int)
-        pieces: dict[str, list[tuple[int, int]]] = {}  # piece -> (needle, place in it)
+        self.window, self.budget = window, budget
+        passages: dict[str, list[int]] = {}
         for item, passage in items:
             found = words(passage)
-            for i in range(len(found) - window + 1):
-                own = found[i : i + window]
-                places = np.concatenate([[0], np.cumsum([len(w) + 1 for w in own])])
-                self.needles.append((item, f" {' '.join(own)} ", [(int(p) + 1, w) for p, w in zip(places, own, strict=False)]))
-                for a, b in zip(ends, ends[1:], strict=False):
-                    pieces.setdefault(" ".join(own[a:b]), []).append((len(self.needles) - 1, int(places[a]) + 1))
-        self.automaton = ahocorasick.Automaton()
-        for piece, uses in pieces.items():
-            self.automaton.add_word(piece, (len(piece), uses))
-        if pieces:
+            if len(found) >= window:
+                passages.setdefault(" ".join(found), []).append(item)
+        self.items, self.lines = list(passages.values()), list(passages)
+        parts = [line.split(" ") for line in self.lines]
+        self.words: list[str] = [w for own in parts for w in own]
+        size = np.array([len(own) for own in parts], np.int64)
+        self.first = np.r_[0, np.cumsum(size)].astype(np.int64)  # of each passage its first word
+        self.passage = np.repeat(np.arange(len(parts)), size).astype(np.int32)  # of each word its passage
+        length = np.array([len(w) + 1 for w in self.words], np.int64)
+        place = np.r_[0, np.cumsum(length)]
+        self.place = (place[:-1] - np.repeat(place[self.first[:-1]], size)).astype(np.int64)  # of each word where it begins in its line
+        ends = np.linspace(0, window, budget + 2).astype(int)
+        #: Words of a piece -> how many words of the needle come before it, for each piece of that size.
+        self.before: dict[int, list[int]] = {}
+        for a, b in zip(ends, ends[1:], strict=False):
+            self.before.setdefault(int(b - a), []).append(int(a))
+        number: dict[str, int] = {}
+        uses: list[list[int]] = []
+        self.pieces: list[tuple[int, int]] = []  # characters, words
+        for p, own in enumerate(parts):
+            for n in self.before:
+                for i in range(len(own) - n + 1):
+                    piece = " ".join(own[i : i + n])
+                    k = number.setdefault(piece, len(number))
+                    if k == len(uses):
+                        uses.append([])
+                        self.pieces.append((len(piece), n))
+                    uses[k].append(int(self.first[p]) + i)
+        self.uses_from = np.r_[0, np.cumsum([len(u) for u in uses])].astype(np.int64)
+        self.uses = np.array([w for u in uses for w in u], np.int32)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for piece, k in number.items():
+            self.automaton.add_word(piece, k)
+        if number:
             self.automaton.make_automaton()
 
     def search(self, text: str | None) -> dict[int, int]:
         """Item -> least distance of any of its needles to the text, for those within the budget."""
-        found = words(text)
-        if not found or not self.needles:
+        found = words(text) if self.words else []
+        if not found:
             return {}
         line = f" {' '.join(found)} "
-        best: dict[int, int] = {}
-        near: set[tuple[int, int]] = set()
-        for end, (length, uses) in self.automaton.iter(line):
+        best: dict[int, int] = {}  # by passage
+        seen: set[tuple[int, int]] = set()
+        for end, k in self.automaton.iter(line):
+            length, n = self.pieces[k]
             start = end - length + 1
-            for needle, place in uses:
-                item, own, _ = self.needles[needle]
-                if best.get(item) == 0:
+            for word in self.uses[self.uses_from[k] : self.uses_from[k + 1]].tolist():
+                p = int(self.passage[word])
+                if best.get(p) == 0:
                     continue
-                if line.startswith(own, start - place) and start >= place:
-                    best[item] = 0
-                elif self.budget:
-                    near.add((needle, start - place))
-        for needle, at in near:
-            item, own, parts = self.needles[needle]
-            most = min(self.budget, best.get(item, self.budget + 1) - 1)
-            if most < 1 or not self._plausible(line, at, parts):
-                continue
-            distance = myers(own[1:-1], line[max(0, at - self.budget) : at + len(own) + self.budget], most)
-            if distance <= most:
-                best[item] = max(1, distance)  # equal text that starts or ends within a longer word isn't distance 0
-        return best
+                for before in self.before[n]:
+                    needle = word - before
+                    if needle < self.first[p] or needle + self.window > self.first[p + 1]:
+                        continue
+                    at = start - int(self.place[word] - self.place[needle])
+                    if (needle, at) not in seen:
+                        seen.add((needle, at))
+                        self._verify(line, p, needle, at, best)
+        out: dict[int, int] = {}
+        for p, distance in best.items():
+            for item in self.items[p]:
+                out[item] = min(distance, out.get(item, distance))
+        return out
+
+    def _verify(self, line: str, p: int, needle: int, at: int, best: dict[int, int]) -> None:
+        """Lower the passage's least distance by the needle's to the text around ``at``, if that is less."""
+        e = self.budget
+        most = min(e, best.get(p, e + 1) - 1)
+        if most < 0 or not self._plausible(line, at, needle):
+            return
+        last = needle + self.window - 1
+        own = self.lines[p][int(self.place[needle]) : int(self.place[last]) + len(self.words[last])]
+        low, high = max(0, at - e), at + len(own) + e
+        distance = myers(own, line[low:high], most)
+        if distance == 0 and line.find(f" {own} ", max(0, at - 1), high + 1) < 0:
+            distance = 1  # equal text that starts or ends within a longer word
+        if distance <= most:
+            best[p] = distance
 
-    def _plausible(self, line: str, at: int, parts: list[tuple[int, str]]) -> bool:
+    def _plausible(self, line: str, at: int, needle: int) -> bool:
         """False only if more edits than the budget are certain.
 
         Matched characters lie within the budget of their place. So a word that isn't found around its place
@@ -116,7 +160,9 @@ class Needles:
         letters that doesn't occur around it at all is an edit of its own.
         """
         e, letters, run, shared = self.budget, 0, 0, 0
-        for place, word in parts:
+        base = int(self.place[needle])
+        for place, word in zip(self.place[needle : needle + self.window].tolist(), self.words[needle : needle + self.window], strict=True):
+            place -= base
             low = at + place - e
             if line.find(word, low if low > 0 else 0, at + place + len(word) + e) >= 0:
                 run = 0
@@ -132,27 +178,61 @@ class Needles:
         return True
 
 
-#: The needles a worker process has built, kept over tasks.
+#: The needles a worker process has built, kept over tasks, the latest used last.
 _BUILT: dict[str, Needles] = {}
 
 
+def _needles(key: str, items, window: int, budget: int) -> Needles:
+    needles = _BUILT.pop(key, None) or Needles(items.value, window, budget)
+    while len(_BUILT) >= HELD:
+        del _BUILT[next(iter(_BUILT))]
+    _BUILT[key] = needles
+    return needles
+
+
 class _Search:
-    def __init__(self, items, window: int, budget: int, columns: tuple[str, str]) -> None:
-        self.items, self.window, self.budget, self.columns = items, window, budget, columns
+    """Texts against all blocks of items: with one block batch by batch, with several over as many batches as may be gathered."""
+
+    def __init__(self, blocks: list[tuple[str, object]], window: int, budget: int, columns: tuple[str, str]) -> None:
+        self.blocks, self.window, self.budget, self.columns = blocks, window, budget, columns
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, items = self.items.value
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Needles(items, self.window, self.budget)
-        needles = _BUILT[key]
+        held, size = [], 0
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.append(batch)
+            size += batch.nbytes
+            if len(self.blocks) == 1 or size >= GATHERED:
+                yield from self.found(held)
+                held, size = [], 0
+        if held:
+            yield from self.found(held)
+
+    def found(self, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = [d for batch in batches for d in batch.column(0).to_pylist()]
+        texts = [t for batch in batches for t in batch.column(1).to_pylist()]
+        best: list[dict[int, int]] = [{} for _ in docs]
+        for key, items in self.blocks:
+            needles = _needles(key, items, self.window, self.budget)
+            for own, text in zip(best, texts, strict=True):
                 for item, distance in needles.search(text).items():
-                    for column, value in zip(out, (doc, item, distance), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int64()), pa.array(np.array(out[2], np.int32))], [*self.columns, "distance"])
+                    own[item] = min(distance, own.get(item, distance))
+        rows = [(doc, item, distance) for doc, own in zip(docs, best, strict=True) for item, distance in own.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], batches[0].column(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], [*self.columns, "distance"]
+        )
+
+
+def _blocks(items: list[tuple[int, str | None]]) -> list[list[tuple[int, str | None]]]:
+    """Items in blocks of BLOCK_CHARACTERS, a longer one alone."""
+    out, size = [[]], 0
+    for item in items:
+        n = len(item[1] or "")
+        if out[-1] and size + n > BLOCK_CHARACTERS:
+            out.append([])
+            size = 0
+        out[-1].append(item)
+        size += n
+    return out
 
 
 def leaks(
@@ -161,18 +241,19 @@ def leaks(
     """(doc id, item id, distance): documents with text within ``budget`` edits of ``window`` words of an item.
 
     distance is the least over all places; 0 means that the words stand there consecutively. Null and empty
-    texts and passages, and passages with fewer words than the window, match nothing. Documents are read
-    once for each ITEMS_AT_ONCE items and never shuffled; a document that repeats in the input repeats here.
+    texts and passages, and passages with fewer words than the window, match nothing. Documents are never shuffled and are read
+    once for every ITEM_CHARACTERS of passages, which are broadcast in blocks; a worker holds the automata of a few blocks at
+    a time. A document that repeats in the input repeats here.
     """
     spark = documents.sparkSession
     own = items.where(F.col(item_column).isNotNull()).select(F.col(item_column).cast("bigint").alias("i"), F.col(passage_column).alias("p")).distinct()
-    blocks = max(1, -(-own.count() // ITEMS_AT_ONCE))
+    readings = max(1, -(-(own.agg(F.sum(F.length("p"))).first()[0] or 0) // ITEM_CHARACTERS))
     kind = documents.schema[id_column].dataType.simpleString()
     found = None
-    for block in range(blocks):
-        rows = own if blocks == 1 else own.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
-        listed = sorted(((r.i, r.p) for r in rows.collect()), key=lambda x: (x[0], x[1] or ""))
-        held = spark.sparkContext.broadcast((f"{id(listed)}-{hash(tuple(listed))}-{window}-{budget}", listed))
-        part = documents.select(id_column, text_column).mapInArrow(_Search(held, window, budget, (id_column, item_column)), f"`{id_column}` {kind}, `{item_column}` bigint, distance int")
+    for reading in range(readings):
+        rows = own if readings == 1 else own.where(F.pmod(F.xxhash64("i"), F.lit(readings)) == reading)
+        listed = sorted(((r.i, r.p) for r in rows.collect()), key=lambda x: (x[0], x[1] or ""))  # about ITEM_CHARACTERS
+        blocks = [(f"{hash(tuple(b))}-{window}-{budget}", spark.sparkContext.broadcast(b)) for b in _blocks(listed)]
+        part = documents.select(id_column, text_column).mapInArrow(_Search(blocks, window, budget, (id_column, item_column)), f"`{id_column}` {kind}, `{item_column}` bigint, distance int")
         found = part if found is None else found.unionByName(part)
     return found

@@ -64,6 +64,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).where("distance = 0").select("doc_id", "item_id")
 
 
+def _windows(source: str, key: str, text: str) -> str:
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i : i + 11], ' ') AS g FROM (
+    SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, list_transform(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) AS w FROM {source}))"""
+
+
+P8_FOUND_SQL = f"""
+WITH d AS ({_windows("documents", "doc_id", "text")}), e AS ({_windows("eval_items", "item_id", "passage")})
+SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)"""
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(table(spark, d, "documents"), table(spark, d, "contacts"), table(spark, d, "brands")).select("doc_id", "pii_kind", "start_pos")
 
@@ -78,7 +88,7 @@ QUERIES = {
     "p6_found": (p6_found, P6_FOUND_SQL),
     "p6_balanced": (p6_balanced, None),
     "p7_ids": (p7_ids, None),
-    "p8_found": (p8_found, None),
+    "p8_found": (p8_found, P8_FOUND_SQL),
     "p8_leaks": (p8_leaks, None),
     "p9_found": (p9_found, None),
     "p9_redacted": (p9_redacted, None),

@@ -78,6 +78,31 @@ def test_edits_at_the_blanks_between_pieces_equal_brute_force():
         assert want <= 2 and needles.search(text) == {1: want}, text
 
 
+def test_every_one_and_two_edit_damage_is_found():
+    own = "one fine day the oldest cat of our street sat still there".split()
+    needles = leakage.Needles([(1, " ".join(own))])
+    line = " ".join(own)
+    cuts = [line[:i] + line[i + 1 :] for i in range(len(line))]
+    glued = [line[:i] + "q" + line[i:] for i in range(len(line) + 1)]
+    for once in [*cuts, *glued]:
+        for text in [once, f"so {once} now", *[once[:i] + once[i + 1 :] for i in range(0, len(once), 2)], *[once[:i] + "x" + once[i:] for i in range(1, len(once), 3)]]:
+            clean = " ".join(leakage.words(text))
+            want = distance(line, clean)
+            got = needles.search(text)
+            # A word of two letters that both go takes a blank with it: three edits of the line.
+            assert got in (({1: want}, {1: max(1, want)}) if want <= 2 else ({},)), text
+
+
+def test_automata_are_kept_within_bounds(monkeypatch):
+    monkeypatch.setattr(leakage, "_BUILT", {})
+    items = lambda i: type("B", (), {"value": [(i, " ".join(f"w{i}x{k}" for k in range(14)))]})()
+    for i in range(9):
+        leakage._needles(str(i), items(i), 12, 2)
+    assert list(leakage._BUILT) == ["5", "6", "7", "8"]
+    kept = leakage._BUILT["6"]
+    assert leakage._needles("6", None, 12, 2) is kept and list(leakage._BUILT)[-1] == "6"
+
+
 def test_words_within_longer_words_are_not_distance_0():
     own = "the index of the second shop holds every document that was rendered".split()
     needles = leakage.Needles([(1, " ".join(own))])
@@ -102,6 +127,7 @@ def test_dataframe(spark, monkeypatch):
     di = spark.createDataFrame(items, "item_id bigint, passage string").selectExpr("*", "1 AS doc_id")
     want = {(1, 1, 0), (2, 1, 0), (6, 1, 1), (None, 1, 0), (7, 1, 0)} | {(1, 2, 0), (2, 2, 0), (6, 2, 1), (None, 2, 0), (7, 2, 0)}
     assert {tuple(r) for r in leakage.leaks(df, di).collect()} == want
-    monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", 1)  # items go through in blocks
-    assert {tuple(r) for r in leakage.leaks(df, di).collect()} == want
+    for name, most in (("BLOCK_CHARACTERS", 1), ("ITEM_CHARACTERS", 200)):  # several automata in one reading, several readings
+        monkeypatch.setattr(leakage, name, most)
+        assert {tuple(r) for r in leakage.leaks(df, di).collect()} == want
     assert leakage.leaks(df.limit(0), di).count() == 0 and leakage.leaks(df, di.limit(0)).count() == 0
