@@ -77,13 +77,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
     return F.broadcast(df) if measured.n <= rows and (measured.b or 0) <= size else df
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, rows: int, population: int | None = None) -> DataFrame:
     """At most ``rows`` rows: those of the least hashes of their key, nearly always exactly that many if df has them.
 
     A threshold on the hash first leaves about twice as many, wherever they lie, so no task takes in more than that
-    however many input partitions there are. The same rows on every run and on every cluster.
+    however many input partitions there are. The same rows on every run and on every cluster. population: the number of rows,
+    where it is known.
     """
-    population = df.count()
+    population = df.count() if population is None else population
     share = min(1.0, 2.0 * rows / max(1, population))
     buckets = 1 << 30
     few = df if share == 1.0 else df.where(F.pmod(F.xxhash64(key), F.lit(buckets)) < math.ceil(share * buckets))
