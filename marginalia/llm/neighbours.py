@@ -15,11 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.runtime import hash_sample
+from marginalia.runtime import cut_lineage, hash_sample
 
 #: Rows the codebooks are fitted on: any of the distinct ones among those of the least hashes of their ids. All rows are indexed.
 SAMPLE = 16_384
@@ -40,6 +39,10 @@ DEPTHS = 10
 SHORTLIST = 64
 #: Distinct vectors whose copies a task counts at a time.
 REMEMBERED = 1 << 17
+#: A vector that one of so many sampled rows has, and so many of them at least, has its list broadcast to its rows.
+HOT_SHARE, HOT_COPIES = 1_000, 8
+#: Queries that are compared with all rows at a time where recall is measured.
+QUERY_BLOCK = 4_096
 #: Deviations of its error that a lookup-table score may lie below the wanted similarity for an exact look.
 DEVIATIONS = 4.0
 
@@ -191,10 +194,11 @@ def fit(sample: np.ndarray, population: int, books: int = BOOKS, words: int = WO
         if depth:
             own = own[np.isin(own // (words + 1), q.divided[-1])]
         values, count = np.unique(own, return_counts=True)
-        large = values[(count * scale > cell) & (count >= TOLD)]
-        if depth == depths - 1:
-            q.salts = {int(p): int(-(-c * scale // (4 * cell))) for p, c in zip(values, count, strict=True) if c * scale > 4 * cell}
-        elif len(large):
+        large = values[(count * scale > cell) & (count >= TOLD)] if depth < depths - 1 else values[:0]
+        # What is still large and isn't divided, too few rows of the sample telling how or no code being left, is salted.
+        whole = ~np.isin(values, large)
+        q.salts |= {int(p): int(-(-c * scale // (4 * cell))) for p, c in zip(values[whole], count[whole], strict=True) if c * scale > 4 * cell}
+        if len(large):
             q.divided.append(large)
         else:
             break
@@ -202,12 +206,12 @@ def fit(sample: np.ndarray, population: int, books: int = BOOKS, words: int = WO
 
 
 #: Columns of the rows that meet in a cell. side: salt * 2, plus 1 for rows that ask. mark: half of the print of the
-#: vector. payload: codes and norm of a listed row, print and half-precision vector of one that asks.
+#: vector (two hashes of it). payload: codes and norm of a listed row, print and half-precision vector of one that asks.
 _CELL_SCHEMA = "cell bigint, side int, mark bigint, id bigint, payload binary"
 
 
 class _ToCells:
-    """Rows (id, embedding) -> the rows that meet in cells.
+    """Rows (id, embedding, print) -> the rows that meet in cells.
 
     A task keeps the ``copies`` least ids of each distinct vector as listed rows and one row that asks: of
     equal vectors no other can be among the nearest when ties go to the least id. So copies of one
@@ -219,13 +223,13 @@ class _ToCells:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantiser = self.quantiser.value
-        seen: dict[bytes, set[int]] = {}
+        seen: dict[tuple[int, int], set[int]] = {}
         for batch in batches:
             place, raw = usable(batch.column(1), self.dimensions)
             ids = batch.column(0).take(pa.array(place)).to_numpy(zero_copy_only=False)
-            prints = [xxhash.xxh3_128_digest(v) for v in raw]
+            prints = np.stack([batch.column(i).take(pa.array(place)).to_numpy(zero_copy_only=False) for i in (2, 3)], axis=1)
             keep = []
-            for i, (p, key) in enumerate(zip(prints, ids.tolist(), strict=True)):
+            for i, (p, key) in enumerate(zip(map(tuple, prints.tolist()), ids.tolist(), strict=True)):
                 if len(seen) >= REMEMBERED and p not in seen:
                     seen.clear()  # costs a few more rows of vectors with copies, nothing else
                 own = seen.setdefault(p, set())
@@ -239,9 +243,9 @@ class _ToCells:
                     keep.append(i)
             for start in range(0, len(keep), 2048):
                 part = np.array(keep[start : start + 2048])
-                yield from self.rows(q, ids[part], [prints[i] for i in part], normalised(raw[part]))
+                yield from self.rows(q, ids[part], np.ascontiguousarray(prints[part]), normalised(raw[part]))
 
-    def rows(self, q: Quantiser, ids: np.ndarray, prints: list[bytes], x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(self, q: Quantiser, ids: np.ndarray, prints: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         codes, prefixes = q.encode(x, self.beam)
         home, listed = q.cells(prefixes)
         norm = np.einsum("ij,ij->i", x, q.decode(codes)).astype(np.float32)
@@ -252,13 +256,13 @@ class _ToCells:
         if "asks" in self.role:
             r, c = np.nonzero(listed >= 0) if self.every_cell_asks else (np.arange(len(ids)), None)
             out.append((home if c is None else listed[r, c], r, 1))
-        marks = np.array([int.from_bytes(p[:8], "little", signed=True) for p in prints], np.int64)
+        marks = np.ascontiguousarray(prints[:, 0])
         for cell, row, kind in out:
             n = np.array([q.salts.get(c, 1) for c in cell.tolist()]) if q.salts else np.ones(len(cell), int)
             if kind:  # asks in every salt of the cell
                 salt = np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, int)
                 cell, row = np.repeat(cell, n), np.repeat(row, n)
-                own = [p + v.tobytes() for p, v in zip(prints, x.astype(np.float16), strict=True)]
+                own = [p.tobytes() + v.tobytes() for p, v in zip(prints, x.astype(np.float16), strict=True)]
             else:
                 salt = marks[row] % n
                 own = [c.tobytes() + v.tobytes() for c, v in zip(codes, norm, strict=True)]
@@ -269,7 +273,7 @@ class _ToCells:
 
 
 class _Score:
-    """Streams rows sorted by (cell, side, mark, id); yields (asks, print, near, score) of promising pairs."""
+    """Streams rows sorted by (cell, side, mark, id); yields (asks, h1, h2, near, score) of promising pairs."""
 
     def __init__(self, quantiser, floor: float, shortlist: int, copies: int) -> None:
         self.quantiser, self.floor, self.shortlist, self.copies = quantiser, floor, shortlist, copies
@@ -316,6 +320,7 @@ class _Score:
         weight = 1 / np.where(norm > 1e-3, norm, 1e-3)
         asked = payload.take(pa.array(asking)).to_pylist()
         queries = np.frombuffer(b"".join([p[16:] for p in asked]), np.float16).reshape(-1, d).astype(np.float32)
+        prints = np.frombuffer(b"".join([p[:16] for p in asked]), np.int64).reshape(-1, 2)
         near, near_mark = ids[listed], marks[listed]
         books = q.books.reshape(m * k, d).T
         for a in range(0, len(asking), 256):
@@ -332,8 +337,8 @@ class _Score:
                 r, c = r[other], c[other]
                 if len(r):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[own[r]], pa.int64()), pa.array([asked[a + i][:16] for i in r], pa.binary()), pa.array(near[c + b], pa.int64()), pa.array(score[r, c])],
-                        ["asks", "print", "near", "score"],
+                        [pa.array(ids[own[r]], pa.int64()), pa.array(prints[a + r, 0]), pa.array(prints[a + r, 1]), pa.array(near[c + b], pa.int64()), pa.array(score[r, c])],
+                        ["asks", "h1", "h2", "near", "score"],
                     )
 
     def promising(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,7 +359,7 @@ class _Score:
 
 
 class _Exact:
-    """(asks, print, near, score, a, b) -> the exact cosine of the embeddings a and b in place of the score."""
+    """(h1, h2, near, a, b) -> the exact cosine of the embeddings a and b in place of them."""
 
     def __init__(self, dimensions: int) -> None:
         self.dimensions = dimensions
@@ -363,19 +368,13 @@ class _Exact:
         for batch in batches:
             x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dimensions).astype(np.float64) for i in (3, 4))
             cosine = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.clip(cosine, -1, 1))], ["asks", "print", "near", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.clip(cosine, -1, 1))], ["h1", "h2", "near", "similarity"])
 
 
-class _Prints:
-    """(id, embedding) -> (id, print) of the usable rows."""
-
-    def __init__(self, dimensions: int) -> None:
-        self.dimensions = dimensions
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, raw = usable(batch.column(1), self.dimensions)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), pa.array([xxhash.xxh3_128_digest(v) for v in raw], pa.binary())], ["id", "print"])
+def _base(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """(id, v, h1, h2): rows with an id and a vector, and two hashes of it, which are the same for equal vectors and hardly for others."""
+    base = rows.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    return base.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
 
 
 def nearest(
@@ -395,11 +394,12 @@ def nearest(
     work is proportional to the number of rows. Vectors are shuffled twice: in half precision to score, in full to rerank.
     """
     spark = rows.sparkSession
-    base = rows.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v"))
-    population = base.count()
-    base = base.where("id IS NOT NULL AND v IS NOT NULL")
-    picked = hash_sample(base.where(F.size("v") == dimensions), "id", sample or min(TREE_SAMPLE, max(SAMPLE + HELD_OUT, population // TREE_SHARE))).select("v").toArrow()
-    _, raw = usable(picked["v"], dimensions)
+    base = _base(rows, id_column, vector_column)
+    sized = base.where(F.size("v") == dimensions)
+    population = sized.count()
+    wanted = sample or min(TREE_SAMPLE, max(SAMPLE + HELD_OUT, population // TREE_SHARE))
+    picked = hash_sample(sized, "id", wanted, population).select("v", "h1", "h2").toArrow()
+    place, raw = usable(picked["v"], dimensions)
     schema = "id bigint, near bigint, similarity double, place int"
     if not len(raw):
         return spark.createDataFrame([], schema)
@@ -412,7 +412,7 @@ def nearest(
         met = base.mapInArrow(_ToCells(quantiser, dimensions, copies, False, "listed asks", beam), _CELL_SCHEMA)
         asking = base
     else:
-        asking = queries.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+        asking = _base(queries, id_column, vector_column)
         met = base.mapInArrow(_ToCells(quantiser, dimensions, copies, True, "listed", BEAM), _CELL_SCHEMA).unionByName(
             asking.mapInArrow(_ToCells(quantiser, dimensions, copies, True, "asks", beam), _CELL_SCHEMA)
         )
@@ -422,26 +422,80 @@ def nearest(
     pairs = (
         met.repartition("cell", F.col("side").bitwiseAND(-2))
         .sortWithinPartitions("cell", "side", "mark", "id")
-        .mapInArrow(_Score(quantiser, floor, shortlist, copies), "asks bigint, print binary, near bigint, score float")
+        .mapInArrow(_Score(quantiser, floor, shortlist, copies), "asks bigint, h1 bigint, h2 bigint, near bigint, score float")
     )
     if min_similarity is None:
         best = Window.partitionBy("asks").orderBy(F.desc("score"), "near")
         pairs = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= shortlist + copies)
-    vectors = base.dropDuplicates(["id"])
+    vectors = base.select("id", "v").dropDuplicates(["id"])
     exact = (
         pairs.join(vectors.withColumnsRenamed({"id": "asks", "v": "a"}), "asks")
         .join(vectors.withColumnsRenamed({"id": "near", "v": "b"}), "near")
-        .select("asks", "print", "near", "a", "b")
-        .mapInArrow(_Exact(dimensions), "asks bigint, print binary, near bigint, similarity double")
+        .select("h1", "h2", "near", "a", "b")
+        .mapInArrow(_Exact(dimensions), "h1 bigint, h2 bigint, near bigint, similarity double")
     )
     if min_similarity is not None:
         exact = exact.where(F.col("similarity") >= min_similarity)
-    members = asking.mapInArrow(_Prints(dimensions), "id bigint, print binary").distinct()
-    place = Window.partitionBy("id").orderBy(F.desc("similarity"), "near")
-    return (
-        exact.join(members, "print")
-        .where("id <> near")
-        .withColumn("place", F.row_number().over(place))
-        .where(F.col("place") <= k)
-        .select("id", "near", "similarity", "place")
-    )
+    # One list for each vector, one longer than asked for: each of its rows leaves itself out.
+    ranked = F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), "near")))
+    lists = exact.groupBy("h1", "h2").agg(F.slice(ranked, 1, k + 1).alias("top"))
+    members = asking.select("id", "h1", "h2").dropDuplicates(["id"])
+    hot = _hot_prints(picked, place)
+    if hot:  # lists of vectors with very many copies go to their rows, which stay where they are
+        few = F.broadcast(spark.createDataFrame(hot, "h1 bigint, h2 bigint"))
+        lists = cut_lineage(lists)
+        met = members.join(F.broadcast(lists.join(few, ["h1", "h2"], "left_semi")), ["h1", "h2"]).unionByName(members.join(few, ["h1", "h2"], "left_anti").join(lists, ["h1", "h2"]))
+    else:
+        met = members.join(lists, ["h1", "h2"])
+    others = F.slice(F.filter("top", lambda x: x["near"] != F.col("id")), 1, k)
+    return met.select("id", F.posexplode(others).alias("at", "x")).select("id", "x.near", (-F.col("x.s")).alias("similarity"), (F.col("at") + 1).alias("place"))
+
+
+def _hot_prints(picked: pa.Table, place: np.ndarray) -> list[tuple[int, int]]:
+    """The prints of vectors that a thousandth of the sampled rows or more have: at most HOT_SHARE."""
+    prints = np.stack([picked[c].take(pa.array(place)).to_numpy() for c in ("h1", "h2")], axis=1)
+    values, count = np.unique(prints, axis=0, return_counts=True)
+    return [(int(a), int(b)) for (a, b), n in zip(values, count, strict=True) if n >= HOT_COPIES and n * HOT_SHARE >= len(place)]
+
+
+class _Brute:
+    """(id, v) against a block of queries: the k most similar of the rows of a task for each query."""
+
+    def __init__(self, queries, dimensions: int, k: int) -> None:
+        self.queries, self.dimensions, self.k = queries, dimensions, k
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks, q = self.queries.value
+        ids, scores = np.zeros((len(asks), 0), np.int64), np.zeros((len(asks), 0))
+        for batch in batches:
+            place, raw = usable(batch.column(1), self.dimensions)
+            own = batch.column(0).take(pa.array(place)).to_numpy(zero_copy_only=False)
+            own, first = np.unique(own, return_index=True)
+            x = raw[first].astype(np.float64)
+            score = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+            score[asks[:, None] == own[None, :]] = -2.0
+            ids, scores = np.concatenate([ids, np.broadcast_to(own, score.shape)], axis=1), np.concatenate([scores, score], axis=1)
+            order = np.lexsort((ids, -scores), axis=1)[:, : 2 * self.k]  # twice: a row may come again in a later batch
+            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+        r, c = np.nonzero(scores > -1.5)
+        yield pa.RecordBatch.from_arrays([pa.array(asks[r]), pa.array(ids[r, c]), pa.array(scores[r, c])], ["id", "near", "similarity"])
+
+
+def brute_force(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "id", vector_column: str = "embedding", dimensions: int = 64) -> DataFrame:
+    """(id, near, similarity): the k most similar rows of each query by comparing it with all, to measure recall by.
+
+    Queries go through in blocks of about QUERY_BLOCK, each broadcast; rows are read once a block and only each task's best are shuffled.
+    """
+    spark = rows.sparkSession
+    base, asking = _base(rows, id_column, vector_column).select("id", "v"), _base(queries, id_column, vector_column).select("id", "v").where(F.size("v") == dimensions).dropDuplicates(["id"])
+    found = None
+    blocks = max(1, -(-asking.count() // QUERY_BLOCK))
+    for block in range(blocks):
+        got = asking.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+        place, raw = usable(got["v"], dimensions)
+        x = raw.astype(np.float64)
+        held = spark.sparkContext.broadcast((got["id"].take(pa.array(place)).to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)))
+        part = base.mapInArrow(_Brute(held, dimensions, k), "id bigint, near bigint, similarity double")
+        found = part if found is None else found.unionByName(part)
+    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "near")
+    return found.groupBy("id", "near").agg(F.max("similarity").alias("similarity")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")

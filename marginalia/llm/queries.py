@@ -23,6 +23,29 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(rows, k=10, queries=rows.where("id % 50 = 0"), beam=SEARCH_BEAM, shortlist=200)
 
 
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of p1_neighbours against comparing its queries with all rows: how many queries there are, and whether nine tenths of the neighbours are found."""
+    rows = table(spark, d, "rag_chunks")
+    exact = neighbours.brute_force(rows, rows.where("id % 50 = 0"), 10)
+    found = p1_neighbours(spark, d).select("id", "near", F.lit(1).alias("hit"))
+    both = exact.join(found, ["id", "near"], "left").agg(F.countDistinct("id").alias("queries"), F.count("hit").alias("hits"), F.count(F.lit(1)).alias("all"))
+    return both.select("queries", (F.col("hits") >= 0.9 * F.col("all")).alias("recalled"))
+
+
+_USABLE_SQL = """
+WITH u AS (SELECT id, any_value(CAST(embedding AS DOUBLE[])) AS e FROM rag_chunks
+  WHERE id IS NOT NULL AND len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY id)"""
+P1_FOUND_SQL = (
+    _USABLE_SQL
+    + """,
+n AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM u),
+near AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.e, b.e) DESC, b.id) AS place
+  FROM n a JOIN n b ON a.id <> b.id AND list_dot_product(a.e, b.e) >= 0.95)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM near WHERE place <= 10"""
+)
+P1_RECALL_SQL = _USABLE_SQL + " SELECT count(*) AS queries, true AS recalled FROM u WHERE id % 50 = 0"
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pieces compared from the front: every piece ends at the latest natural boundary in reach."""
     return splitting.split(table(spark, d, "rag_sources"), order=splitting.FIRST).select("document_id", "chunk_index", "content_hash")
@@ -83,8 +106,9 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": (p1_found, None),
+    "p1_found": (p1_found, P1_FOUND_SQL),
     "p1_neighbours": (p1_neighbours, None),
+    "p1_recall": (p1_recall, P1_RECALL_SQL),
     "p6_found": (p6_found, P6_FOUND_SQL),
     "p6_balanced": (p6_balanced, None),
     "p7_ids": (p7_ids, None),

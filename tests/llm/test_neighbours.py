@@ -88,6 +88,36 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert not {i for r in got for i in (r.id, r.near)} & set(range(5000, 5010))
 
 
+def test_hot_vectors_are_joined_by_broadcast(spark, monkeypatch):
+    x = clustered(400, seed=4)
+    rows = list(enumerate(x)) + [(1000 + i, x[3]) for i in range(200)]
+    df = frame(spark, rows)
+    key = lambda got: sorted((r.id, r.place, r.near, round(r.similarity, 9)) for r in got.collect())
+    hot = key(nb.nearest(df, 5))
+    monkeypatch.setattr(nb, "HOT_COPIES", 10**9)  # none is hot: the same by shuffle
+    assert key(nb.nearest(df, 5)) == hot and sum(i >= 1000 for i, *_ in hot) == 1000
+
+
+def test_large_cells_are_salted_at_every_depth():
+    rng = np.random.default_rng(1)
+    x = nb.normalised(clustered(2000, seed=6))
+    q = nb.fit(x, 2000 * 5000)  # each row stands for 5000: cells of too few rows to be divided are large still
+    codes, prefixes = q.encode(x)
+    home, _ = q.cells(prefixes)
+    values, count = np.unique(home, return_counts=True)
+    large = [int(v) for v, n in zip(values, count, strict=True) if n * 5000 > 4 * nb.CELL]
+    assert large and sum(v in q.salts for v in large) >= 0.9 * len(large)
+
+
+def test_brute_force_equals_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(nb, "QUERY_BLOCK", 7)
+    x = clustered(500, seed=5)
+    df = frame(spark, list(enumerate(x)) + [(3, x[3]), (9000, None), (9001, [0.0] * 64)]).repartition(5)
+    near, s = exact(x, 4)
+    got = nb.brute_force(df, df.where("id % 20 = 0"), 4).collect()
+    assert {(r.id, r.near) for r in got} == {(i, int(j)) for i in range(0, 500, 20) for j in near[i]} and len(got) == 100
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_tiny_tables(spark, n):
     df = frame(spark, list(enumerate(clustered(20)))).where(f"id < {n}")
