@@ -340,15 +340,16 @@ UNION ALL SELECT * FROM (VALUES (-1, 1, 'x', 'g1', 'synced', 2024, 2024), (-2, 1
 
 
 def embedding_carry_over(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks after a pass in which every third text got longer: which vectors stayed."""
+    """Chunks after a pass in which every third text got longer, every fifth shorter and some have another configuration: which chunks and vectors stayed."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "text")
     small = CONFIG.with_(max_tokens=100, overlap=10)
     stored = chunked(rows, ["entity_id"], "text", small).select(
         "entity_id", "chunk_index", "content_hash", F.array(F.lit(1.0).cast("float")).alias("embedding"), F.lit("p").alias("embedding_provider"), F.lit("m").alias("embedding_model"),
         F.lit(1).alias("embedding_dimensions"), F.lit("h").alias("embedding_hash"), F.lit(None).cast("string").alias("metadata"), *[F.lit("2024-01-01").cast("timestamp").alias(c) for c in ("created_at", "updated_at")],
     )
-    longer = rows.withColumn("text", F.when(F.col("entity_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
-    touched = rows.select("entity_id", (F.col("entity_id") % 3 == 0).alias("is_changed"), F.lit(False).alias("configuration_changed"))
+    text = F.when(F.col("entity_id") % 3 == 0, F.concat("text", F.lit(" more"))).when(F.col("entity_id") % 5 == 0, F.substring("text", 1, 500)).otherwise(F.col("text"))
+    longer = rows.withColumn("text", text)
+    touched = rows.select("entity_id", ((F.col("entity_id") % 3 == 0) | (F.col("entity_id") % 5 == 0)).alias("is_changed"), (F.col("entity_id") % 15 == 0).alias("configuration_changed"))
     new = reconcile.new_chunks(chunked(longer, ["entity_id"], "text", small), stored, touched)
     return new.select("entity_id", "chunk_index", "content_hash", F.col("embedding").isNotNull().alias("kept"))
 
@@ -363,8 +364,8 @@ def _chunks_of(source: str, name: str) -> str:
 
 CARRY_OVER = f"""
 WITH {_chunks_of("SELECT doc_id, text FROM documents", "old")},
-{_chunks_of("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' more' ELSE text END AS text FROM documents", "new")}
-SELECT doc_id AS entity_id, n.i AS chunk_index, n.h AS content_hash, coalesce(n.h = o.h, false) AS kept FROM new n LEFT JOIN old o USING (doc_id, i)"""
+{_chunks_of("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' more' WHEN doc_id % 5 = 0 THEN substring(text, 1, 500) ELSE text END AS text FROM documents", "new")}
+SELECT doc_id AS entity_id, n.i AS chunk_index, n.h AS content_hash, coalesce(n.h = o.h AND doc_id % 15 <> 0, false) AS kept FROM new n LEFT JOIN old o USING (doc_id, i)"""
 
 
 def dependency_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -460,23 +461,6 @@ WITH docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER
 SELECT id AS entity_id, CASE WHEN content_hash IS NOT NULL AND NOT EXISTS (SELECT 1 FROM rag_chunks c WHERE c.document_id = docs.id AND c.id IS NOT NULL AND c.embedding IS NULL) THEN 'synced' ELSE status END AS status FROM docs"""
 
 
-def status_by_state(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rag_documents").where("id IS NOT NULL").select("id", "version", "status").distinct().groupBy("status").agg(F.count(F.lit(1)).alias("documents"))
-
-
-STATUS_BY_STATE = "SELECT status, count(*) AS documents FROM (SELECT DISTINCT id, version, status FROM rag_documents WHERE id IS NOT NULL) GROUP BY status"
-
-
-def status_by_type(spark: SparkSession, d: str) -> DataFrame:
-    from marginalia.sources.tables import kind_of
-
-    return table(spark, d, "rag_documents").select("id", "version", kind_of(F.col("model_type")).alias("kind")).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
-
-
-STATUS_BY_TYPE = r"""
-SELECT kind, count(*) AS documents FROM (SELECT DISTINCT id, version, lower(trim(list_last(string_split(model_type, '\')))) AS kind FROM rag_documents) GROUP BY kind"""
-
-
 def vector_widths(spark: SparkSession, d: str) -> DataFrame:
     """Stored vectors by width, and the widths that type names say."""
     rows = table(spark, d, "rag_chunks").where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("width")).agg(F.countDistinct("id").alias("chunks"))
@@ -534,8 +518,6 @@ QUERIES = {
     "verify_sample": (verify_sample, VERIFY_SAMPLE),
     "embed_pending": (embed_pending, EMBED_PENDING),
     "flip_synced": (flip_synced, FLIP_SYNCED),
-    "status_by_state": (status_by_state, STATUS_BY_STATE),
-    "status_by_type": (status_by_type, STATUS_BY_TYPE),
     "vector_widths": (vector_widths, VECTOR_WIDTHS),
     "vector_decode": (vector_decode, VECTOR_DECODE),
 }

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.runtime import broadcast_if_small, cut_lineage
+from marginalia.runtime import BROADCAST_ROWS, broadcast_if_small, cut_lineage, is_at_most
 
 _CHANGE = ["dependency_type", "dependency_id"]
 
@@ -39,11 +39,16 @@ def affected(changes: DataFrame, dependencies: DataFrame, keys: tuple[str, ...]
 def batches(work: DataFrame, order: list[str], size: int = 500) -> DataFrame:
     """work with batch_no: rows in that order, ``size`` a batch, from 0.
 
-    Numbered over a range-sorted copy by an offset for each partition, so no task sees all rows; only one
-    number for each partition goes through the driver. order must be unique for a defined result.
+    Work is written once. Few rows, counted, are numbered in one task; more over a range-sorted copy by an offset for each
+    partition, so no task sees all rows, and only one number for each partition goes through the driver. order must
+    be unique for a defined result.
     """
     if size < 1:
         raise ValueError("size must be at least 1")
+    work = cut_lineage(work)
+    if is_at_most(work, BROADCAST_ROWS):
+        place = F.row_number().over(Window.orderBy(*order)) - 1
+        return work.withColumn("batch_no", F.floor(place / size).cast("bigint"))
     n = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = cut_lineage(work.repartitionByRange(n, *order).sortWithinPartitions(*order))
     numbered = ordered.withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
@@ -104,8 +109,6 @@ def throttle(events: DataFrame, keys: list[str], at: str, ttl_micros: int, dropp
     no memory. Since an event that comes a ttl or more after the one before it always passes, a key is first
     divided at such gaps, found blockwise, and the pieces are spread over tasks.
     """
-    from pyspark.sql import Window
-
     present = F.col(at).isNotNull()
     for k in keys:
         present = present & F.col(k).isNotNull()

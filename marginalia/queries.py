@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia import index_queries
+from marginalia import index_queries, operation_queries
 from marginalia.operators import diffing, hotkeys, incremental, references
 from marginalia.runtime import cut_lineage, shared_dir
 from marginalia.sources.store import SnapshotStore
@@ -82,8 +82,8 @@ def p2_two_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 P2_TWO_RUNS_SQL = """
-SELECT 'rag_documents' AS table_name, id AS record_id, 1 AS times FROM rag_documents WHERE id IS NOT NULL GROUP BY id
-UNION ALL SELECT 'rag_chunks', id, 1 FROM rag_chunks WHERE id IS NOT NULL GROUP BY id"""
+SELECT 'rag_documents' AS table_name, id AS record_id, CAST(1 AS BIGINT) AS times FROM rag_documents WHERE id IS NOT NULL GROUP BY id
+UNION ALL SELECT 'rag_chunks', id, CAST(1 AS BIGINT) FROM rag_chunks WHERE id IS NOT NULL GROUP BY id"""
 
 _STATES_SQL = """
 WITH cur AS (
@@ -235,4 +235,4 @@ QUERIES = {
     "p4_found": (p4_found, P4_FOUND_SQL),
     "p4_counts": (p4_counts, P4_COUNTS_SQL),
     "p5_found": (p5_found, P5_FOUND_SQL),
-} | index_queries.QUERIES
+} | index_queries.QUERIES | operation_queries.QUERIES

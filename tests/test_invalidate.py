@@ -23,10 +23,12 @@ def test_references_are_parsed():
             invalidate.parse_reference(bad)
 
 
-def test_batches(spark):
+def test_batches(spark, monkeypatch):
     work = spark.range(2500).select(F.lit("t").alias("entity_type"), F.col("id").alias("entity_id"))
     got = {r.entity_id: r.batch_no for r in invalidate.batches(work, ["entity_type", "entity_id"], 500).collect()}
     assert got == {i: i // 500 for i in range(2500)}
+    monkeypatch.setattr(invalidate, "BROADCAST_ROWS", 100)  # as many rows: numbered over partitions
+    assert {r.entity_id: r.batch_no for r in invalidate.batches(work, ["entity_type", "entity_id"], 500).collect()} == got
     assert invalidate.batches(work.limit(0), ["entity_id"]).count() == 0
     with pytest.raises(ValueError):
         invalidate.batches(work, ["entity_id"], 0)
