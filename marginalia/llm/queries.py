@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from marginalia.llm import bpe, leakage, neighbours, pii, splitting
 from marginalia.sources.tables import table
 
-#: Cells in which each of few queries asks; chosen for a recall above 0.9 (measured in tests and README).
-SEARCH_BEAM = 96
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.nearest(table(spark, d, "rag_chunks"), k=10, min_similarity=0.95)
     return near.select(F.least("id", "near").alias("chunk_a"), F.greatest("id", "near").alias("chunk_b")).distinct()
@@ -20,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest of every row whose id is divisible by 50, among all rows."""
     rows = table(spark, d, "rag_chunks")
-    return neighbours.nearest(rows, k=10, queries=rows.where("id % 50 = 0"), beam=SEARCH_BEAM, shortlist=200)
+    return neighbours.nearest(rows, k=10, queries=rows.where("id % 50 = 0"), shortlist=200)
 
 
 def p1_recall(spark: SparkSession, d: str) -> DataFrame:
