@@ -17,6 +17,7 @@ from marginalia.plans import embed as embeds
 from marginalia.plans import invalidate, reconcile
 from marginalia.plans import search as searches
 from marginalia.plans.render import dependencies, render, render_hashed
+from marginalia.runtime import cut_lineage
 from marginalia.sources.tables import micros, table
 from marginalia.spec import DocumentSpec, EntityCatalog, Relation
 
@@ -429,14 +430,14 @@ def embed_pending(spark: SparkSession, d: str) -> DataFrame:
     """Stored chunks of documents; those of every second document lack a vector and, where their text is still there, get one."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "text")
     own = CONFIG.with_(max_tokens=100, overlap=10, dimensions=8)
-    fresh = chunked(rows, ["entity_id"], "text", own)
+    fresh = cut_lineage(chunked(rows, ["entity_id"], "text", own))  # the texts are cut once
     stored = fresh.select(
         "entity_id", "chunk_index", F.when(F.col("entity_id") % 5 == 0, F.lit("moved")).otherwise(F.col("content_hash")).alias("content_hash"),
         F.when(F.col("entity_id") % 2 == 1, F.array_repeat(F.lit(1.0).cast("float"), 8)).alias("embedding"), *[F.lit(None).cast("string").alias(c) for c in ("embedding_provider", "embedding_model")],
         F.lit(None).cast("int").alias("embedding_dimensions"), F.lit(None).cast("string").alias("embedding_hash"), F.lit(None).cast("timestamp").alias("updated_at"),
     )
     embedder = embeds.HashEmbedder()
-    answers = embeds.embedded(embeds.pending(stored, fresh), embedder, own)
+    answers = cut_lineage(embeds.embedded(embeds.pending(stored, fresh), embedder, own))  # and the embedder is asked once
     after = embeds.with_vectors(stored, answers, embedder, own)
     return after.select("entity_id", "chunk_index", F.size("embedding").alias("width"), "embedding_hash")
 
