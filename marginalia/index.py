@@ -144,6 +144,11 @@ class Index:
         listed = sorted({self.key(i) for i in ids})
         return listed if len(listed) <= LISTED_IDS else self.spark.createDataFrame([(i,) for i in listed], f"entity_id {self.config.id_type}")
 
+    def _listed(self, keys: DataFrame) -> Keys:
+        """Few keys as a list, which becomes a filter of the scans; many stay a table."""
+        few = keys.limit(LISTED_IDS + 1).collect()
+        return [r[0] for r in few] if len(few) <= LISTED_IDS else keys
+
     def document(self, entity_type: str, entity_id: int | str) -> DataFrame:
         """The document of an entity; only its bucket is read."""
         row = self.spark.createDataFrame([(self.key(entity_id),)], f"entity_id {self.config.id_type}")
@@ -214,9 +219,16 @@ class Index:
 
     def _sync(self, t: str, keys: Keys, force: bool) -> tuple[dict[str, int], DataFrame | None]:
         view = self._view()
-        desired = cut_lineage(self.desired(t, keys))
-        stored = self._part("documents", t, None if keys is None else self._buckets_of(desired), view)
-        touched = cut_lineage(reconcile.actions(desired, stored, force))
+        desired = self.desired(t, keys)
+        if self._folders("documents", t, view):
+            # Most documents are as they should be: hashes alone are kept of all, texts only of those to be rewritten.
+            hashes = cut_lineage(desired.select("entity_id", "content_hash", "configuration_hash"))
+            stored = self._part("documents", t, None if keys is None else self._buckets_of(hashes), view)
+            touched = cut_lineage(reconcile.actions(hashes, stored, force))
+            desired = cut_lineage(self.desired(t, self._listed(touched.where("is_changed").select("entity_id"))))
+        else:
+            desired = cut_lineage(desired)
+            touched = cut_lineage(reconcile.actions(desired, self._part("documents", t, [], view), force))
         work = touched.where("is_changed").select("entity_id")
         errors = None
         if self.config.tokenizer != "whitespace":
@@ -236,7 +248,7 @@ class Index:
             tables = {
                 "documents": reconcile.new_documents(changed, documents, force, now),
                 "chunks": reconcile.new_chunks(fresh, chunks, touched, now),
-                "dependencies": reconcile.new_dependencies(self._dependencies(t, work if tally.s > LISTED_IDS else [r[0] for r in work.collect()]), dependencies, touched, now),
+                "dependencies": reconcile.new_dependencies(self._dependencies(t, self._listed(work)), dependencies, touched, now),
             }
             self.store.commit({}, bucketed=self._bucketed(tables, t, buckets), notes=self._notes(view), expected=view.version)
             self._tell("synced", t, work, forced=force, count=tally.s)
