@@ -9,6 +9,7 @@ live positions and updates three leaves, so a piece of n bytes takes n log n ste
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -121,19 +122,18 @@ class Encoder(dict):
 
 
 #: One encoder for each vocabulary and worker process, kept over tasks.
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 class _Encode:
-    def __init__(self, ranks, pattern: str, id_column: str, ids_column: str) -> None:
-        self.ranks, self.pattern, self.id_column, self.ids_column = ranks, pattern, id_column, ids_column
+    def __init__(self, ranks, key: str, pattern: str, id_column: str, ids_column: str) -> None:
+        self.ranks, self.key, self.pattern, self.id_column, self.ids_column = ranks, key, pattern, id_column, ids_column
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((self.ranks._jbroadcast.id() if self.ranks._jbroadcast else self.ranks._path, self.pattern)) if hasattr(self.ranks, "_jbroadcast") else id(self.ranks)
-        encoder = _ENCODERS.get(key)
+        encoder = _ENCODERS.get(self.key)
         if encoder is None:
             _ENCODERS.clear()
-            encoder = _ENCODERS[key] = Encoder(self.ranks.value, self.pattern)
+            encoder = _ENCODERS[self.key] = Encoder(self.ranks.value, self.pattern)
         for batch in batches:
             offsets, flat = np.zeros(batch.num_rows + 1, np.int32), []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -151,5 +151,6 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     size, is broadcast.
     """
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    key = hashlib.sha256(Path(vocabulary).read_bytes() + pattern.encode()).hexdigest()
     kind = documents.schema[id_column].dataType.simpleString()
-    return documents.select(id_column, text_column).mapInArrow(_Encode(ranks, pattern, id_column, ids_column), f"`{id_column}` {kind}, `{ids_column}` array<int>")
+    return documents.select(id_column, text_column).mapInArrow(_Encode(ranks, key, pattern, id_column, ids_column), f"`{id_column}` {kind}, `{ids_column}` array<int>")
