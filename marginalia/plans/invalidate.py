@@ -72,42 +72,102 @@ def passing(times: np.ndarray, until: int | None, ttl: int) -> tuple[np.ndarray,
     return np.array(places, np.int64), until
 
 
-class _Throttle:
-    """Streams rows sorted by key and time, remembering the time until which events of the open key are dropped."""
+#: Width of a block of time in ttls; at most so many events of a key pass in a block.
+BLOCK_TTLS = 1024
+
+
+def _groups(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(values, rows) of each run of equal values in sorted frames; one run is held at a time."""
+    key, held = None, []
+    for frame in frames:
+        if frame.empty:
+            continue
+        new = np.zeros(len(frame), bool)
+        for c in columns:
+            new |= (frame[c] != frame[c].shift()).to_numpy()
+        starts = np.unique(np.r_[0, np.flatnonzero(new)])
+        for a, b in zip(starts, [*starts[1:], len(frame)], strict=True):
+            own = tuple(frame[c].iloc[a] for c in columns)
+            if held and own != key:
+                yield key, pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            key = own
+            held.append(frame.iloc[a:b])
+    if held:
+        yield key, pd.concat(held) if len(held) > 1 else held[0]
+
+
+def leaving(times: np.ndarray, start: int, ttl: int, ttls: int = BLOCK_TTLS) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, until): if the first event of a block to pass is one up to hi, later ones are dropped until ``until`` when the block is left.
+
+    Only events within a ttl of the block's start, and the next one, can be the first to pass. The later the first, the
+    later the last: so both ascend, and equal ends are one row.
+    """
+    after = np.searchsorted(times, times + ttl)
+    last = np.where(after < len(times), after, np.arange(len(times)))
+    for _ in range(ttls.bit_length()):  # jumps of jumps: after these the last event that passes is reached
+        last = last[last]
+    first = min(len(times), int(np.searchsorted(times, start + ttl)) + 1)
+    until = times[last[:first]] + ttl
+    edge = np.flatnonzero(np.r_[until[1:] != until[:-1], True])
+    return times[edge], until[edge]
+
+
+class _Leaving:
+    """(keys, __b, at) sorted -> (keys, __b, hi, until) of each block."""
+
+    def __init__(self, keys: list[str], ttl: int, ttls: int) -> None:
+        self.keys, self.ttl, self.ttls = keys, ttl, ttls
+
+    def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*self.keys, "__b"]
+        for key, rows in _groups(frames, columns):
+            hi, until = leaving(rows["at"].to_numpy(), int(key[-1]) * self.ttl * self.ttls, self.ttl, self.ttls)
+            yield pd.DataFrame({**dict(zip(columns, ([k] * len(hi) for k in key), strict=True)), "hi": hi, "until": until})
+
+
+class _Entering:
+    """(keys, __b, hi, until) sorted -> (keys, __b, until): until when a block's events are dropped as it is entered; null for the first."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys = keys
+
+    def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*self.keys, "__b"]
+        open_key, until = None, None
+        for key, rows in _groups(frames, columns):
+            if key[:-1] != open_key:
+                open_key, until = key[:-1], None
+            yield pd.DataFrame({**dict(zip(columns, ([k] for k in key), strict=True)), "until": pd.array([until], "Int64")})
+            at = 0 if until is None else int(np.searchsorted(rows["hi"].to_numpy(), until))
+            if at < len(rows):  # else nothing passes in this block
+                until = int(rows["until"].iloc[at])
+
+
+class _Passing:
+    """(keys, __b, at, until) sorted -> the rows that pass."""
 
     def __init__(self, keys: list[str], ttl: int) -> None:
         self.keys, self.ttl = keys, ttl
 
     def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, until = None, None
-        for frame in frames:
-            if frame.empty:
-                continue
-            times = frame["at"].to_numpy()
-            new = np.zeros(len(frame), bool)
-            for c in self.keys:
-                new |= (frame[c] != frame[c].shift()).to_numpy()
-            starts = np.unique(np.r_[0, np.flatnonzero(new)])
-            keep = []
-            for a, b in zip(starts, [*starts[1:], len(frame)], strict=True):
-                own = tuple(frame[c].iloc[a] for c in self.keys)
-                places, until = passing(times[a:b], until if own == key else None, self.ttl)
-                key = own
-                keep.append(places + a)
-            yield frame.iloc[np.concatenate(keep)]
+        for _, rows in _groups(frames, [*self.keys, "__b"]):
+            until = rows["until"].iloc[0]
+            places, _ = passing(rows["at"].to_numpy(), None if pd.isna(until) else int(until), self.ttl)
+            yield rows.iloc[places][[*self.keys, "at"]]
 
 
 def throttle(events: DataFrame, keys: list[str], at: str, ttl_micros: int, dropped_until: DataFrame | None = None) -> DataFrame:
     """(keys, at) of the events that pass a leading-edge throttle of each key.
 
     dropped_until (keys, until): what an earlier call left; events of a key before its time are dropped.
-
     The first event passes; those before its time plus the ttl are dropped; the next one begins anew. at: a
     bigint in microseconds. Null keys or times are left out; repeated events pass once.
 
-    Events are sorted within a partitioning by key and streamed with one remembered time, so a hot key needs
-    no memory. Since an event that comes a ttl or more after the one before it always passes, a key is first
-    divided at such gaps, found blockwise, and the pieces are spread over tasks.
+    That is sequential for a key, but what happens in a block of BLOCK_TTLS ttls depends on the past by one number only, and
+    only the events of its first ttl can be the first to pass. So for each block the end is worked out for each
+    possible beginning, which are few rows; these are chained along the key; and then the blocks' events are
+    passed or dropped. A hot key's events are spread over its blocks; a task holds the times of one block.
     """
     present = F.col(at).isNotNull()
     for k in keys:
@@ -116,28 +176,15 @@ def throttle(events: DataFrame, keys: list[str], at: str, ttl_micros: int, dropp
     if dropped_until is not None:
         held = dropped_until.groupBy(*keys).agg(F.max("until").alias("__until"))
         rows = rows.join(held, keys, "left").where(F.col("__until").isNull() | (F.col("at") >= F.col("__until"))).drop("__until")
-    # Blocks of many ttls; a block's first event starts a piece only if the ttl before it is empty in its own and the previous block.
-    width = ttl_micros * 4096
-    block = F.floor(F.col("at") / width)
-    ends = rows.groupBy(*keys, block.alias("__b")).agg(F.max("at").alias("__last"))
-    # The latest event of any earlier block, over one row a block.
-    before = Window.partitionBy(*keys).orderBy("__b")
-    previous = ends.select(*keys, "__b", F.lag("__last").over(before).alias("__previous"))
-    joined = rows.withColumn("__b", block).join(previous, [*keys, "__b"])
-    inside = Window.partitionBy(*keys, "__b").orderBy("at")
-    gap = F.col("at") - F.coalesce(F.lag("at").over(inside), F.col("__previous"))
-    marked = joined.withColumn("__starts", F.coalesce(gap >= ttl_micros, F.lit(True)))
-    # A piece is named by its start; within a block that is a running maximum, across blocks the latest start before.
-    local = marked.withColumn("__piece", F.max(F.when(F.col("__starts"), F.col("at"))).over(inside))
-    carried = (
-        local.groupBy(*keys, "__b")
-        .agg(F.max("__piece").alias("__end"))
-        .select(*keys, "__b", F.max("__end").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
-    )
-    pieces = local.join(carried, [*keys, "__b"]).select(*keys, "at", F.coalesce("__piece", "__carried").alias("__piece"))
-    schema = pieces.select(*keys, "at", "__piece").schema
-    out = pieces.select(*keys, "at", "__piece").repartition(*keys, "__piece").sortWithinPartitions(*keys, "__piece", "at").mapInPandas(_Throttle([*keys, "__piece"], ttl_micros), schema)
-    return out.select(*keys, "at")
+    block = [*keys, "__b"]
+    rows = rows.withColumn("__b", F.expr(f"CAST((at - pmod(at, {ttl_micros * BLOCK_TTLS}L)) div {ttl_micros * BLOCK_TTLS}L AS BIGINT)"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = lambda *columns: ", ".join(f"`{c}` {kinds.get(c, 'bigint')}" for c in columns)
+    parted = rows.repartition(*block).sortWithinPartitions(*block, "at")
+    ends = parted.mapInPandas(_Leaving(keys, ttl_micros, BLOCK_TTLS), schema(*block, "hi", "until"))
+    entered = ends.repartition(*keys).sortWithinPartitions(*block, "hi").mapInPandas(_Entering(keys), schema(*block, "until"))
+    met = rows.join(entered, block).repartition(*block).sortWithinPartitions(*block, "at")
+    return met.mapInPandas(_Passing(keys, ttl_micros), schema(*keys, "at"))
 
 
 def fan_out(changes: DataFrame, dependencies: DataFrame, size: int = 500, keys: tuple[str, ...] = ("entity_type", "entity_id")) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import sys
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -41,8 +42,22 @@ def test_fan_out_takes_each_document_once(spark):
     assert {tuple(r) for r in invalidate.with_dependents(changes, deps).distinct().collect()} == {("c", 5), ("c", 6)}
 
 
+def test_ends_of_blocks_equal_the_loop():
+    rng = random.Random(1)
+    for _ in range(300):
+        start, ttl = rng.randrange(-50, 50) * 10, 10
+        times = np.array(sorted(rng.sample(range(start, start + 400), rng.randrange(1, 60))), np.int64)
+        hi, until = invalidate.leaving(times, start, ttl)
+        assert (np.diff(hi) > 0).all() and (np.diff(until) > 0).all()
+        for u in [None, *range(start - 5, start + ttl + 1)]:
+            places, want = invalidate.passing(times, u, ttl)
+            at = 0 if u is None else np.searchsorted(hi, u)
+            assert (until[at] if at < len(hi) else u) == want
+
+
 @pytest.mark.parametrize("seed", range(3))
-def test_throttle_equals_the_loop(spark, seed):
+def test_throttle_equals_the_loop(spark, seed, monkeypatch):
+    monkeypatch.setattr(invalidate, "BLOCK_TTLS", 8 if seed else 1024)
     rng = random.Random(seed)
     ttl = 1000
     events = [(rng.choice([1, 1, 1, 2, 3]), rng.choice([rng.randrange(60_000), rng.randrange(3 * 4096 * ttl)])) for _ in range(800)]
