@@ -38,6 +38,8 @@ class EngineConfig:
     id_type: str = "bigint"
     buckets: int = 64
     attempts: int = 3
+    #: Seconds after which a pass that failed as a whole is tried again, such as (10, 60).
+    pauses: tuple[float, ...] = ()
 
     def __post_init__(self) -> None:
         check_chunking(self.max_tokens, self.overlap)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -81,14 +82,20 @@ class Index:
     def _view(self) -> _View:
         return _View(*self.store._newest())
 
-    def _retried(self, attempt: Callable[[], T]) -> T:
-        """The result of an attempt that may lose a race with another writer; the last loss is raised."""
-        for _ in range(self.config.attempts - 1):
+    def _retried(self, attempt: Callable[[], T], patient: bool = True) -> T:
+        """The result of an attempt that may lose a race with another writer, or fail for a while; the last error is raised."""
+        lost, pauses = 0, list(self.config.pauses) if patient else []
+        while True:
             try:
                 return attempt()
             except CommitConflict:
-                continue
-        return attempt()
+                lost += 1
+                if lost >= self.config.attempts:
+                    raise
+            except PySparkException:
+                if not pauses:
+                    raise
+                time.sleep(pauses.pop(0))
 
     @staticmethod
     def _name(table: str, entity_type: str) -> str:
@@ -203,8 +210,10 @@ class Index:
     def _isolated(self, t: str, keys: Keys, force: bool, depth: int = 0) -> tuple[dict[str, int], DataFrame | None]:
         """(tally, rewritten keys) of a pass; one that an entity's rows break is halved by the hash of the ids until those alone are left."""
         try:
-            return self._retried(lambda: self._sync(t, keys, force))
+            return self._retried(lambda: self._sync(t, keys, force), patient=not depth)
         except PySparkException as e:
+            if not depth:
+                cut_lineage(self._part("documents", t).limit(1))  # if the store or the shared folder is away, that is no row's fault
             key = self.catalog[t].key
             rows = only(self.catalog[t].rows.where(F.col(key).isNotNull()).select(key), key, keys)
             ids = cut_lineage(rows.select(F.col(key).cast(self.config.id_type).alias("entity_id")).distinct())

@@ -189,6 +189,30 @@ def test_failures_stay_with_their_documents(spark, tmp_path):
     assert fresh.sync("product")["product"]["failed"] == 1 and set(statuses(fresh)) == {2}  # no document to hold the message
 
 
+def test_a_pass_is_tried_again(spark, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    real, left = Index._sync, [2]
+
+    def flaky(self, *args):
+        if left[0]:
+            left[0] -= 1
+            raise PySparkException("the store is away")
+        return real(self, *args)
+
+    monkeypatch.setattr(Index, "_sync", flaky)
+    assert index(spark, tmp_path, pauses=(0, 0)).sync("product")["product"] == {"synced": 2, "skipped": 0, "failed": 0}
+    left[0] = 99
+
+    def away(*_):
+        raise PySparkException("the folder is away")
+
+    monkeypatch.setattr("marginalia.index.cut_lineage", away)
+    with pytest.raises(PySparkException, match="folder"):  # not the documents' fault: none is marked
+        index(spark, tmp_path, pauses=(0,)).sync("product")
+    assert {s for s, _, _ in statuses(index(spark, tmp_path)).values()} == {"pending"}
+
+
 class Picky:
     def encode(self, text):
         if "Speaker" in text:
