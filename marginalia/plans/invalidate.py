@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.runtime import BROADCAST_ROWS, broadcast_if_small, cut_lineage, is_at_most
+from marginalia.runtime import broadcast_if_small, cut_lineage
 
 _CHANGE = ["dependency_type", "dependency_id"]
 
@@ -39,18 +40,16 @@ def affected(changes: DataFrame, dependencies: DataFrame, keys: tuple[str, ...]
 def batches(work: DataFrame, order: list[str], size: int = 500) -> DataFrame:
     """work with batch_no: rows in that order, ``size`` a batch, from 0.
 
-    Work is written once. Few rows, counted, are numbered in one task; more over a range-sorted copy by an offset for each
-    partition, so no task sees all rows, and only one number for each partition goes through the driver. order must
-    be unique for a defined result.
+    Numbered over a range-sorted copy by an offset for each partition, so no task sees all rows; only one number for each
+    partition goes through the driver. Work is computed once, kept until the copy is written. order must be unique for
+    a defined result.
     """
     if size < 1:
         raise ValueError("size must be at least 1")
-    work = cut_lineage(work)
-    if is_at_most(work, BROADCAST_ROWS):
-        place = F.row_number().over(Window.orderBy(*order)) - 1
-        return work.withColumn("batch_no", F.floor(place / size).cast("bigint"))
     n = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = work.persist(StorageLevel.MEMORY_AND_DISK)  # sampled for the ranges, then sorted
     ordered = cut_lineage(work.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    work.unpersist()
     numbered = ordered.withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
     counts = {r["__p"]: r["n"] for r in numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
     offset, at = {}, 0
@@ -76,25 +75,51 @@ def passing(times: np.ndarray, until: int | None, ttl: int) -> tuple[np.ndarray,
 BLOCK_TTLS = 1024
 
 
-def _groups(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """(values, rows) of each run of equal values in sorted frames; one run is held at a time."""
-    key, held = None, []
+#: Before any time: nothing is dropped.
+NEVER = -(1 << 63)
+
+
+def _groups(frames: Iterator[pd.DataFrame], by: list[str], values: list[str]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """(key, arrays of values) of each run of equal keys in sorted frames; one run is held at a time."""
+    key, held = None, None
     for frame in frames:
         if frame.empty:
             continue
+        columns, own = [frame[c].to_numpy() for c in by], [frame[c].to_numpy() for c in values]
         new = np.zeros(len(frame), bool)
         for c in columns:
-            new |= (frame[c] != frame[c].shift()).to_numpy()
-        starts = np.unique(np.r_[0, np.flatnonzero(new)])
+            new[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
         for a, b in zip(starts, [*starts[1:], len(frame)], strict=True):
-            own = tuple(frame[c].iloc[a] for c in columns)
-            if held and own != key:
-                yield key, pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            key = own
-            held.append(frame.iloc[a:b])
-    if held:
-        yield key, pd.concat(held) if len(held) > 1 else held[0]
+            at, part = tuple(c[a] for c in columns), [v[a:b] for v in own]
+            if held is not None and at == key:
+                held = [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)]
+                continue
+            if held is not None:
+                yield key, held
+            key, held = at, part
+    if held is not None:
+        yield key, held
+
+
+def _frames(rows: Iterator[tuple[tuple, list[np.ndarray]]], by: list[str], values: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
+    """(key, arrays of values) as frames of some rows."""
+    keys, parts, n = [], [], 0
+
+    def frame() -> pd.DataFrame:
+        times = [len(p[0]) for p in parts]
+        made = {c: np.repeat(np.array([k[i] for k in keys]), times) for i, c in enumerate(by)}
+        return pd.DataFrame({**made, **{c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(values)}})
+
+    for key, part in rows:
+        keys.append(key)
+        parts.append(part)
+        n += len(part[0])
+        if n >= size:
+            yield frame()
+            keys, parts, n = [], [], 0
+    if keys:
+        yield frame()
 
 
 def leaving(times: np.ndarray, start: int, ttl: int, ttls: int = BLOCK_TTLS) -> tuple[np.ndarray, np.ndarray]:
@@ -117,44 +142,43 @@ class _Leaving:
     """(keys, __b, at) sorted -> (keys, __b, hi, until) of each block."""
 
     def __init__(self, keys: list[str], ttl: int, ttls: int) -> None:
-        self.keys, self.ttl, self.ttls = keys, ttl, ttls
+        self.by, self.ttl, self.ttls = [*keys, "__b"], ttl, ttls
 
     def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*self.keys, "__b"]
-        for key, rows in _groups(frames, columns):
-            hi, until = leaving(rows["at"].to_numpy(), int(key[-1]) * self.ttl * self.ttls, self.ttl, self.ttls)
-            yield pd.DataFrame({**dict(zip(columns, ([k] * len(hi) for k in key), strict=True)), "hi": hi, "until": until})
+        width = self.ttl * self.ttls
+        rows = ((key, list(leaving(times, int(key[-1]) * width, self.ttl, self.ttls))) for key, (times,) in _groups(frames, self.by, ["at"]))
+        yield from _frames(rows, self.by, ["hi", "until"])
 
 
 class _Entering:
-    """(keys, __b, hi, until) sorted -> (keys, __b, until): until when a block's events are dropped as it is entered; null for the first."""
+    """(keys, __b, hi, until) sorted -> (keys, __b, until): until when a block's events are dropped as it is entered."""
 
     def __init__(self, keys: list[str]) -> None:
-        self.keys = keys
+        self.by = [*keys, "__b"]
 
-    def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*self.keys, "__b"]
-        open_key, until = None, None
-        for key, rows in _groups(frames, columns):
+    def chained(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+        open_key, until = None, NEVER
+        for key, (hi, ends) in _groups(frames, self.by, ["hi", "until"]):
             if key[:-1] != open_key:
-                open_key, until = key[:-1], None
-            yield pd.DataFrame({**dict(zip(columns, ([k] for k in key), strict=True)), "until": pd.array([until], "Int64")})
-            at = 0 if until is None else int(np.searchsorted(rows["hi"].to_numpy(), until))
-            if at < len(rows):  # else nothing passes in this block
-                until = int(rows["until"].iloc[at])
+                open_key, until = key[:-1], NEVER
+            yield key, [np.array([until])]
+            at = int(np.searchsorted(hi, until))
+            if at < len(hi):  # else nothing passes in this block
+                until = int(ends[at])
+
+    def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames(self.chained(frames), self.by, ["until"])
 
 
 class _Passing:
-    """(keys, __b, at, until) sorted -> the rows that pass."""
+    """(keys, __b, at, until) sorted -> the (keys, at) that pass."""
 
     def __init__(self, keys: list[str], ttl: int) -> None:
-        self.keys, self.ttl = keys, ttl
+        self.keys, self.by, self.ttl = keys, [*keys, "__b"], ttl
 
     def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, rows in _groups(frames, [*self.keys, "__b"]):
-            until = rows["until"].iloc[0]
-            places, _ = passing(rows["at"].to_numpy(), None if pd.isna(until) else int(until), self.ttl)
-            yield rows.iloc[places][[*self.keys, "at"]]
+        rows = ((key[:-1], [times[passing(times, int(until[0]), self.ttl)[0]]]) for key, (times, until) in _groups(frames, self.by, ["at", "until"]))
+        yield from _frames(rows, self.keys, ["at"])
 
 
 def throttle(events: DataFrame, keys: list[str], at: str, ttl_micros: int, dropped_until: DataFrame | None = None) -> DataFrame:
