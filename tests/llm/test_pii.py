@@ -210,3 +210,72 @@ def test_large_gazetteers_are_refused(spark, monkeypatch):
     df = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
     with pytest.raises(ValueError):
         pii.find(df, spark.createDataFrame(PEOPLE, "given_name string, family_name string"))
+
+
+def test_contexts_come_from_all_documents(spark):
+    """Few of many documents tell of a context; a sample of the documents would miss it."""
+    few = [f"Signed off: {g} {f}, thanks." for g, f in PEOPLE[:4]] + ["Signed off: drand marquelle, thanks."]
+    many = [t for t, _ in corpus(300, 4)] + ["A desk was moved."] * 60_000
+    df = spark.createDataFrame(list(enumerate(few + many)), "doc_id bigint, text string").repartition(8, "doc_id")
+    people, brands = spark.createDataFrame(PEOPLE, "given_name string, family_name string"), spark.createDataFrame([(b,) for b in BRANDS], "name string")
+    found = pii.find(df, people, brands).where("doc_id < 5 AND pii_kind = 'name'").collect()
+    assert sorted((r.doc_id, r.start_pos) for r in found) == [(i, 12) for i in range(5)]
+
+
+def test_spark_learns_what_one_process_learns(spark, monkeypatch):
+    texts = [t for t, _ in corpus(300, 5)]
+    df = spark.createDataFrame([*enumerate(texts), (1000, None), (1001, " ")], "doc_id bigint, text string").repartition(5)
+    people, brands = spark.createDataFrame(PEOPLE, "given_name string, family_name string"), spark.createDataFrame([(b,) for b in BRANDS], "name string")
+    fit = pii._fit
+    monkeypatch.setattr(pii, "_fit", lambda totals, slopes: fit(totals, slopes, rounds=8))
+    finder, classifier = fitted(texts)
+    learned = []
+    for rows in (pii.FIT_ROWS, 0):  # fitted by the driver; by jobs
+        monkeypatch.setattr(pii, "FIT_ROWS", rows)
+        _, gazetteers, made = pii._prepared(df, people, brands, "doc_id", "text", "given_name", "family_name", "name")
+        contexts = gazetteers.value[3]
+        assert contexts.before == finder.contexts.before and contexts.after == finder.contexts.after and contexts.leading == finder.contexts.leading
+        assert all((c in finder.contexts.not_before) for c in contexts.not_before) and {c for c in finder.contexts.not_after if " " not in c} == contexts.not_after
+        learned.append(made.value.weights)
+    for weights in learned:
+        assert weights.keys() == classifier.weights.keys() == set(pii.KINDS)
+        assert all(np.allclose(weights[k], classifier.weights[k], atol=1e-9) for k in pii.KINDS)
+
+
+def test_counts_are_given_away_in_parts(monkeypatch):
+    held = type("B", (), {"value": ("parts", PEOPLE, BRANDS, pii.Contexts())})()
+    texts = pa.RecordBatch.from_arrays([pa.array([i for i in range(80)]), pa.array([t for t, _ in corpus(80, 6)])], ["id", "text"])
+    packed = next(iter(pii._Pack(held)(iter([texts]))))
+
+    def summed(made, key, columns):
+        out = {}
+        for b in made:
+            for r in b.to_pylist():
+                at = str([r[c] for c in key])
+                out[at] = out.get(at, 0) + r[columns]
+        return out
+
+    spans, both = packed.select(["spans"]), packed.select(["text", "spans"])
+    contexts = lambda: summed(pii._Contexts()(iter([spans])), ("side", "context", "seed"), "n")
+    rows = lambda: summed(pii._Rows(held)(iter([both])), ("kind", "votes", "places"), "n")
+    whole = contexts(), rows()
+    monkeypatch.setattr(pii, "COUNTED", 7)
+    assert (contexts(), rows()) == whole and len(list(pii._Rows(held)(iter([both])))) > 3
+    assert sum(whole[1].values()) == sum(len(pii.Finder(PEOPLE, BRANDS).spans(t)) for t in texts["text"].to_pylist())
+
+
+def test_true_spans_stay_together_in_large_tables():
+    """Numbers announced in three ways, all of them true; a prior of fixed weight lets a large table part one from the others."""
+    patterns = {("idnumber", (0, 0, 0, 1, 1)): 777, ("idnumber", (0, 0, 1, 0, 1)): 791, ("idnumber", (1, 0, 0, 0, 1)): 2342}
+    assert min(pii._likelihoods(patterns).values()) < 0.5
+    for times in (1, 10, 300):
+        likely = pii._likelihoods({k: n * times for k, n in patterns.items()}, 100_000 * times)
+        assert min(likely.values()) > 0.9
+
+
+def test_equal_votes_count_as_often_as_they_are():
+    votes = np.array([[1, 0, -1], [1, 1, 0], [1, 1, 0], [0, -1, 0], [0, -1, 0], [0, -1, 0]])
+    rows, counts = np.unique(votes, axis=0, return_counts=True)
+    every, table = pii.reliabilities(votes)
+    few, same = pii.reliabilities(rows, counts=counts.astype(float))
+    assert np.allclose(table, same) and np.allclose(np.repeat(few, counts), every[np.lexsort(votes.T[::-1])])
